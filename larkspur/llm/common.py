@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: The white space that separates words: the space and the five control characters of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +52,54 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, of: int, left_out: int) -> tuple[list[tuple[str, int]], dict[int, float]]:
+    """At most ``rows`` labelled texts of each class, and the share of each class's labels that these are.
+
+    Draws by a hash of the id from rows of ``labels`` whose id and label are not null and whose fold ``of`` is not
+    ``left_out``; all of them where there are fewer. Null texts count as empty. The labels drawn are bounded by ``rows``
+    for each of the two classes, so they are broadcast.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), of) != left_out))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").collect()
+    texts = [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], r["label"]))]
+    return texts, {k: min(1.0, rows / n) for k, n in counts.items()}
+
+
+def fresh_name(wanted: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, whatever the case."""
+    while wanted.lower() in {x.lower() for x in taken}:
+        wanted += "_"
+    return wanted
+
+
+def map_rows(rows: DataFrame, keep: list[str], using: list[str], made: str, run: Callable[..., tuple], batch: int = 1000) -> DataFrame:
+    """``rows`` with the columns ``made`` (a DDL string) beside those named in ``keep``, which pass unchanged, nulls included.
+
+    ``run`` gets a list of values for each column named in ``using``, of at most ``batch`` rows, and returns one sequence
+    for each column made.
+    """
+    more = _parse_datatype_string(made)
+    types = [f.type for f in to_arrow_schema(more)]
+    names = [*keep, *more.names]
+    rows = rows.select(*dict.fromkeys([*keep, *using]))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, batch):
+                part = whole.slice(k, batch)
+                found = run(*(part.column(c).to_pylist() for c in using))
+                arrays = [part.column(c) for c in keep] + [pa.array(x, t) for x, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return rows.mapInArrow(go, StructType([*(rows.schema[c] for c in keep), *more.fields]))
+
+
+def decided(docs: DataFrame, made: str, run: Callable[..., tuple], keep_if: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs``, all columns, for which ``keep_if`` holds on the column ``made`` from the text."""
+    name = fresh_name(made.split()[0], docs.columns)
+    scored = map_rows(docs, docs.columns, ["text"], f"{name} {made.split()[1]}", run)
+    return scored.filter(keep_if(F.col(name))).select(*docs.columns)
