@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import GAP, table
+from larkspur.llm.common import GAP, fresh_name, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -42,6 +42,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return totals.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def chance(doc_id: Column, seed: str) -> Column:
+    """A number on [0, 1) from a hash of seed and id, the same in every run."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``copies`` for every row of ``docs`` (doc_id, text, source).
 
@@ -53,11 +58,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "of")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
+    copies = F.floor("rate") + (chance(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, all columns, as often as ``mix`` takes them, numbered from 1 in a column ``copy`` (or ``copy_``, if that is taken).
+
+    Rates are of each row's source; the sizes alone are gathered for them, and rows stay where they are but for the join
+    with the sources, a row for each.
+    """
+    sized = docs.select("source", words(F.col("text")).alias("size"))
+    targets = source_targets(sized, weights, most).select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
+    copies = F.floor("_rate") + (chance(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
+    rows = docs.join(targets, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(fresh_name("copy", docs.columns)))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -15,6 +15,8 @@ from larkspur.llm.common import Workspace, map_rows, table
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+#: Nodes in each side of a block of signatures.
+TILE = 1000
 #: Signature positions compared at a time, and the chance with which a true link may be pruned at each look.
 LOOK, MISS = 16, 1e-7
 
@@ -126,6 +128,24 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
             return labels
 
 
+def candidates(x: list[dict], y: list[dict], percent: int, looks: list[tuple[int, int]]) -> list[dict]:
+    """Pairs of a node of x and one of y, in different components, near enough in size, that no look prunes.
+
+    A pair that other buckets share too is found in each; pairs are compared in rows of x, so memory is bounded by y.
+    """
+    if not x or not y:
+        return []
+    sig = [np.frombuffer(b"".join(r["sig"] for r in side), np.uint32).reshape(-1, HASHES) for side in (x, y)]
+    node, label, n = ([np.array([r[c] for r in side], np.int64) for side in (x, y)] for c in ("node", "label", "n"))
+    out = []
+    for k in range(len(x)):
+        other = np.flatnonzero((label[1] != label[0][k]) & (100 * n[1] >= percent * n[0][k]) & (100 * n[0][k] >= percent * n[1]))
+        for j in other[may_link(np.broadcast_to(sig[0][k], (len(other), HASHES)), sig[1][other], looks)]:
+            a, b = int(node[0][k]), int(node[1][j])
+            out.append({"a": min(a, b), "b": max(a, b)})
+    return out
+
+
 class Finder:
     """The steps of one search; see ``near_duplicates``."""
 
@@ -146,23 +166,47 @@ class Finder:
         return self.nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
     def star(self) -> DataFrame:
-        """Each bucket's nodes paired with its smallest one."""
-        low = self.bands().groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "a")
-        self.shared = self.work.write(low, "shared")
-        return self.bands().join(self.shared, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-
-    def rest(self, labels: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs of a bucket that the star's links leave in different components; those in one need no comparison."""
-        labelled = self.bands().join(self.shared.select("key"), "key").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        """Each bucket's nodes paired with its hub: the node whose buckets are the fullest.
+
+        Of copies with edits, the least edited one shares the most bands with the others, so it is the likeliest to link
+        with all of them.
+        """
+        full = self.bands().groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        full = self.work.write(full, "full")
+        self.shared = self.work.write(self.bands().join(full, "key"), "shared")
+        self.work.drop("full")
+        weight = self.work.write(self.shared.groupBy("node").agg(F.sum("m").alias("w")), "weight")
+        hubs = self.shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("less"))).alias("top"))
+        hubs = self.work.write(hubs.select("key", (-F.col("top.less")).alias("hub")), "hubs")
+        return self.shared.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """Candidate pairs of a bucket that the star's links leave in different components; those in one need no comparison.
+
+        Nodes outside their bucket's largest component are compared with all of the bucket's nodes, as blocks of
+        signatures, TILE by TILE; only pairs that no look prunes leave a block.
+        """
+        labelled = self.shared.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label"))
         labelled = self.work.write(labelled, "labelled")
-        split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        split = self.work.write(split, "split")
-        open_ = self.work.write(labelled.join(split, "key").join(self.nodes.select("node", "n"), "node"), "open")
+        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"))
+        main = self.work.write(main.filter("labels > 1").select("key", F.col("top.label").alias("main"), (F.col("all") - F.col("top.c")).alias("minor")), "main")
+        members = labelled.join(main, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("asks"), F.ceil(F.col("minor") / TILE).cast("int").alias("rows"), F.ceil(F.col("m") / TILE).cast("int").alias("cols"))
+        members = self.work.write(members, "members")
         self.work.drop("labelled")
-        left, right = (open_.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "n"))) for s in "xy")
-        near = (F.col("x_n") * 100 >= F.col("y_n") * self.percent) & (F.col("y_n") * 100 >= F.col("x_n") * self.percent)
-        pairs = left.join(right, "key").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & near)
-        return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asked = members.select("key", "node", "label", F.lit(False).alias("asks"), place("cols").alias("col"), every("rows").alias("row"))
+        asking = members.filter("asks").select("key", "node", "label", "asks", place("rows").alias("row"), every("cols").alias("col"))
+        cells = asked.unionByName(asking).join(self.nodes.select("node", "n", "sig"), "node")
+        blocks = cells.groupBy("key", "row", "col").agg(*(F.collect_list(F.when(F.col("asks") == side, F.struct("node", "label", "n", "sig"))).alias(name) for side, name in ((True, "x"), (False, "y"))))
+        percent, looks = self.percent, least_matches(self.percent)
+
+        def compare(xs: list[list[dict]], ys: list[list[dict]]) -> tuple[list[list[dict]]]:
+            return ([candidates(x, y, percent, looks) for x, y in zip(xs, ys, strict=True)],)
+
+        found = map_rows(blocks, [], ["x", "y"], "pairs array<struct<a:bigint,b:bigint>>", compare, 20)
+        return found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
 
     def survivors(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures no look prunes."""
@@ -176,8 +220,8 @@ class Finder:
         return map_rows(both, ["a", "b"], ["sig_a", "sig_b"], "alive boolean", look, 5000).filter("alive").select("a", "b")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Surviving pairs that whole shingle sets confirm."""
-        pairs = self.work.write(self.survivors(pairs), f"{name}-pairs")
+        """Pairs that whole shingle sets confirm."""
+        pairs = self.work.write(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         own = self.nodes.select(F.col("node").alias("doc_id"), "h").join(wanted, "doc_id")
         texts = self.work.write(self.docs.join(own, ["doc_id", "h"]).select("doc_id", "text"), f"{name}-texts")
@@ -201,10 +245,9 @@ class Finder:
         return found
 
     def labels(self) -> DataFrame:
-        pairs = self.work.write(self.star(), "star")
-        first = self.links(pairs, "star")
+        first = self.links(self.survivors(self.star()), "star")
         labels = components(first, self.work, "first")
-        more = self.links(self.rest(labels, pairs), "rest")
+        more = self.links(self.rest(labels), "rest")
         if more.isEmpty():
             return labels
         return components(first.union(more), self.work, "all")
@@ -216,8 +259,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Links documents whose sets of ``width``-word shingles have 100 x intersection >= percent x union; a component's id is
     the smallest doc_id that links reach, and ``kept`` marks the row that has it. Candidates share one of 32 bands of 4
     minima (a pair at 80 % shares none with a chance of 5e-8); looks at 16 more positions each prune them by the posterior
-    of their similarity, and whole sets confirm the rest. A bucket's nodes are first compared with its smallest one only;
-    then its pairs in different components are, so large groups of copies don't grow into all their pairs.
+    of their similarity, and whole sets confirm the rest. A bucket's nodes are first compared with its hub only; then
+    nodes outside its largest component are compared with the others, as blocks of signatures, so large groups of copies
+    don't grow into all their pairs.
 
     Empty and null texts have 0 shingles and link with nothing, nor do rows with a null id: those have component null and
     are kept. Repeated rows are in one component and marked alike; an empty table gives no rows; other columns are not read.
