@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +23,29 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams, its ends marked."""
-    marked = f"<{word[:48]}>"
-    return [xxhash.xxh3_64_intdigest(marked[k : k + n]) % BUCKETS for n in GRAMS for k in range(max(1, len(marked) - n + 1))]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the words' bytes, their ends marked, and the word that each is of."""
+    raw = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    text, word = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32), np.repeat(np.arange(len(words)), sizes)
+    buckets, owners = [], []
+    for n in GRAMS:
+        if len(text) >= n:
+            h = np.full(len(text) - n + 1, n, np.uint32)
+            for k in range(n):
+                h = (h ^ text[k : len(text) - n + 1 + k]) * np.uint32(0x01000193)
+            inside = word[: len(h)] == word[n - 1 :]
+            h = (h ^ (h >> np.uint32(15)))[inside]
+            buckets.append((h % BUCKETS).astype(np.int64))
+            owners.append(word[: len(inside)][inside])
+    return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.zeros(0, np.int64),) * 2
+
+
+def lexicon(texts: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """All tokens as numbers, the distinct words by number, and each text's number of tokens."""
+    distinct: dict[str, int] = {}
+    ids = np.array([distinct.setdefault(w, len(distinct)) for words in texts for w in words], np.int64)
+    return ids, list(distinct), np.array([len(x) for x in texts], np.int64)
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,13 +182,12 @@ class Model:
     def start(self, texts: list[list[str]], y: np.ndarray, fit: np.ndarray, rng: np.random.Generator) -> None:
         """Vocabulary and vectors; the first dimension begins as the log-odds of the label among fitted texts that have the word or n-gram."""
         seen = (Counter(), Counter())
-        seen_grams = (Counter(), Counter())
-        gram_cache: dict[str, list[int]] = {}
+        of_gram = np.zeros((2, BUCKETS))
         for k, words in enumerate(texts):
             if fit[k]:
-                own = set(words)
+                own = list(set(words))
                 seen[int(y[k])].update(own)
-                seen_grams[int(y[k])].update({b for w in own for b in gram_cache.setdefault(w, grams(w))})
+                of_gram[int(y[k]), np.unique(grams(own)[0])] += 1
         n1, n0 = float(y[fit].sum()), float((1 - y[fit]).sum())
         odds = lambda a, b: np.log((a + 0.1) / (n1 + 0.2)) - np.log((b + 0.1) / (n0 + 0.2)) if a + b >= 2 else 0.0
         vocabulary = sorted(w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 2)
@@ -178,17 +195,16 @@ class Model:
         self.words = rng.normal(0, 0.1, (len(vocabulary) + 1, WORD)).astype(np.float32)
         self.words[:, 0] = [0.0, *(odds(seen[1][w], seen[0][w]) / 2 for w in vocabulary)]
         self.chars = rng.normal(0, 0.1, (BUCKETS, CHAR)).astype(np.float32)
-        self.chars[:, 0] = [odds(seen_grams[1][b], seen_grams[0][b]) / 2 for b in range(BUCKETS)]
+        self.chars[:, 0] = [odds(*x) / 2 for x in of_gram[::-1].T]
         self.net = Network(rng)
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs of distinct words, and for the backward pass their vocabulary rows, buckets and the buckets' owners."""
+        """Inputs of distinct words, and for the backward pass their vocabulary rows, the n-grams' buckets and owners."""
         rows = np.array([self.at.get(w, 0) for w in words], np.int64)
-        each = [grams(w) for w in words]
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat = np.array([b for x in each for b in x], np.int64)
-        mean = np.add.reduceat(self.chars[flat], np.cumsum(sizes) - sizes) / sizes[:, None] if len(words) else np.zeros((0, CHAR), np.float32)
-        return np.concatenate([self.words[rows], mean], axis=1).astype(np.float32), rows, flat, sizes
+        flat, owner = grams(words)
+        count = np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        mean = np.stack([np.bincount(owner, self.chars[flat, d], len(words)) / count for d in range(CHAR)], axis=1) if words else np.zeros((0, CHAR))
+        return np.concatenate([self.words[rows], mean], axis=1).astype(np.float32), rows, flat, owner
 
     def lay(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of windows by length, and their ids as WINDOW x windows."""
@@ -196,12 +212,10 @@ class Model:
         grid = start[order] + np.minimum(np.arange(WINDOW)[:, None], np.maximum(length[order] - 1, 0))
         return order, ids[np.minimum(grid, max(len(ids) - 1, 0))] if len(ids) else np.zeros(grid.shape, np.int64)
 
-    def logits(self, texts: list[list[str]], part: int = 2000) -> tuple[np.ndarray, ...]:
+    def logits(self, ids: np.ndarray, words: list[str], sizes: np.ndarray, part: int = 2000) -> tuple[np.ndarray, ...]:
         """Logit, text, start and length of every window."""
-        distinct: dict[str, int] = {}
-        ids = np.array([distinct.setdefault(w, len(distinct)) for words in texts for w in words], np.int64)
-        gates = self.net.inputs(self.table(list(distinct))[0]) if distinct else [np.zeros((1, 3 * HIDDEN), np.float32)] * 2
-        owner, start, length = windows(np.array([len(x) for x in texts], np.int64))
+        gates = self.net.inputs(self.table(words)[0]) if words else [np.zeros((1, 3 * HIDDEN), np.float32)] * 2
+        owner, start, length = windows(sizes)
         out = np.zeros(len(owner), np.float32)
         by_length = np.argsort(-length, kind="stable")
         for a in range(0, len(owner), part):
@@ -211,7 +225,7 @@ class Model:
         return out, owner, start, length
 
     def highest(self, texts: list[list[str]]) -> np.ndarray:
-        logit, owner, _, _ = self.logits(texts)
+        logit, owner, _, _ = self.logits(*lexicon(texts))
         out = np.full(len(texts), -np.inf, np.float32)
         np.maximum.at(out, owner, logit)
         return out
@@ -219,13 +233,11 @@ class Model:
     def train(self, texts: list[list[str]], y: np.ndarray, fit: np.ndarray, rng: np.random.Generator, epochs: int, rate: float) -> None:
         chosen = np.flatnonzero(fit)
         texts, y = [texts[k] for k in chosen], y[chosen]
-        distinct: dict[str, int] = {}
-        ids = np.array([distinct.setdefault(w, len(distinct)) for words in texts for w in words], np.int64)
-        vocabulary = list(distinct)
+        ids, vocabulary, sizes = lexicon(texts)
         adam = Adam(rate)
         weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
         for epoch in range(epochs):
-            logit, owner, start, length = self.logits(texts)
+            logit, owner, start, length = self.logits(ids, vocabulary, sizes) if epoch else (None, *windows(sizes))
             if epoch == 0:  # before any training, by the words' log-odds
                 x = np.concatenate([[0.0], np.cumsum(np.maximum(self.words[[self.at.get(w, 0) for w in vocabulary], 0] - 0.5, 0)[ids])]) if len(ids) else np.zeros(1)
                 logit = x[start + length] - x[start]
@@ -240,7 +252,7 @@ class Model:
                 k = k[order]
                 used, local = np.unique(grid, return_inverse=True)
                 local = local.reshape(grid.shape)
-                x, rows, flat, sizes = self.table([vocabulary[j] for j in used] if vocabulary else [])
+                x, rows, flat, of = self.table([vocabulary[j] for j in used] if vocabulary else [])
                 if not len(x):
                     x = np.zeros((1, WORD + CHAR), np.float32)
                 kept: dict = {}
@@ -251,7 +263,7 @@ class Model:
                 if len(rows):
                     step = 20 * rate
                     np.subtract.at(self.words, rows, step * dx[:, :WORD] * (rows > 0)[:, None])
-                    np.subtract.at(self.chars, flat, step * np.repeat(dx[:, WORD:] / sizes[:, None], sizes, axis=0))
+                    np.subtract.at(self.chars, flat, step * (dx[:, WORD:] / np.maximum(np.bincount(of, minlength=len(rows)), 1)[:, None])[of])
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, shares: dict[int, float], rows: np.ndarray) -> None:
         """Slope and offset that fit the highest logits to the labels, weighted to the classes' shares among all labels."""
