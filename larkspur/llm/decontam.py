@@ -27,18 +27,17 @@ def pieces(length: int, budget: int) -> list[tuple[int, int]]:
     return [(length * k // (budget + 1), length * (k + 1) // (budget + 1)) for k in range(budget + 1)]
 
 
-class Item:
-    """A test item: its normalised text, edit budget and, by character, the bits of its places."""
+class Pattern:
+    """A stretch of a test item: where it begins in the item, its edit budget and, by character, the bits of its places."""
 
-    def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text, self.length = item_id, text, len(text)
-        self.budget = math.floor(rate * len(text))
+    def __init__(self, text: str, offset: int, budget: int):
+        self.offset, self.length, self.budget = offset, len(text), budget
         self.places: dict[str, int] = defaultdict(int)
         for k, ch in enumerate(text):
             self.places[ch] |= 1 << k
 
     def search(self, text: str) -> tuple[int, int]:
-        """The least edit distance of the item to any substring of ``text``, and where the first such substring ends."""
+        """The least edit distance of the stretch to any substring of ``text``, and where the first such substring ends."""
         mask, top = (1 << self.length) - 1, 1 << (self.length - 1)
         plus, minus, score = mask, 0, self.length
         best, end = score, 0
@@ -62,6 +61,38 @@ class Item:
             minus = ph & xv & mask
         return best, end
 
+    def near(self, text: str, start: int) -> bool:
+        """Whether it is within its budget of some substring around where an item that starts at ``start`` has it."""
+        a = max(0, start + self.offset - self.budget)
+        return self.search(text[a : max(0, start + self.offset + self.length + self.budget)])[0] <= self.budget
+
+
+class Item(Pattern):
+    """A whole test item, its pieces, and above each piece the growing stretches that hold it, smallest first.
+
+    A stretch of n pieces has a budget of n - 1 edits. If it is within that, so is one of its halves within its own; so an
+    item within budget has a whole piece all of whose stretches are within theirs, and a hit whose small stretches are
+    not is given up early without losing an item.
+    """
+
+    def __init__(self, item_id: int, text: str, rate: float):
+        super().__init__(text, 0, math.floor(rate * len(text)))
+        self.item_id, self.text = item_id, text
+        self.pieces = pieces(len(text), self.budget)
+        self.above: list[list[Pattern]] = [[] for _ in self.pieces]
+        self._split(0, len(self.pieces))
+
+    def _split(self, a: int, b: int) -> None:
+        if b - a > 1:
+            mid = (a + b) // 2
+            self._split(a, mid)
+            self._split(mid, b)
+            if b - a < len(self.pieces):
+                start, end = self.pieces[a][0], self.pieces[b - 1][1]
+                stretch = Pattern(self.text[start:end], start, b - a - 1)
+                for k in range(a, b):
+                    self.above[k].append(stretch)
+
 
 class Matcher:
     """Finds test items in texts. Items without words are never found."""
@@ -70,8 +101,8 @@ class Matcher:
         self.items = [Item(k, plain, rate) for k, text in items if (plain := normalise(text))]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, item in enumerate(self.items):
-            for a, b in pieces(item.length, item.budget):
-                where[item.text[a:b]].append((n, a))
+            for k, (a, b) in enumerate(item.pieces):
+                where[item.text[a:b]].append((n, k))
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
             self.automaton.add_word(piece, (len(piece), at))
@@ -83,27 +114,29 @@ class Matcher:
         text = normalise(raw)
         if not text or not self.items:
             return []
-        starts: dict[int, set[int]] = defaultdict(set)
+        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for end, (size, at) in self.automaton.iter(text):
-            for n, offset in at:
-                starts[n].add(end + 1 - size - offset)
+            for n, k in at:
+                hits[n].add((end + 1 - size - self.items[n].pieces[k][0], k))
         out = []
-        for n in sorted(starts):
+        for n in sorted(hits):
             item = self.items[n]
             best = (item.budget + 1, 0)
-            # An occurrence around a whole piece starts at most ``budget`` places from where the piece puts it; stretches that overlap are searched as one.
-            reach: list[list[int]] = []
-            for s in sorted(starts[n]):
-                a, b = max(0, s - item.budget), min(len(text), s + item.length + item.budget)
-                if reach and a <= reach[-1][1]:
-                    reach[-1][1] = max(reach[-1][1], b)
-                else:
-                    reach.append([a, b])
-            for a, b in reach:
-                distance, end = item.search(text[a:b])
-                best = min(best, (distance, a + end))
-                if not distance:
-                    break
+            exact = next((s for s in sorted({s for s, _ in hits[n]}) if s >= 0 and text.startswith(item.text, s)), None)
+            if exact is not None:
+                best = (0, exact + item.length)
+            else:
+                # An occurrence around a whole piece starts at most ``budget`` places from where the piece puts it; stretches of text that overlap are searched as one.
+                reach: list[list[int]] = []
+                for s in sorted({s for s, k in hits[n] if all(p.near(text, s) for p in item.above[k])}):
+                    a, b = max(0, s - item.budget), min(len(text), s + item.length + item.budget)
+                    if reach and a <= reach[-1][1]:
+                        reach[-1][1] = max(reach[-1][1], b)
+                    else:
+                        reach.append([a, b])
+                for a, b in reach:
+                    distance, end = item.search(text[a:b])
+                    best = min(best, (distance, a + end))
             if best[0] <= item.budget:
                 out.append({"item_id": item.item_id, "distance": best[0], "budget": item.budget, "end_at": best[1]})
         return out
