@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Workspace, map_rows, table
+from larkspur.llm.common import Workspace, fresh_name, map_rows, table
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Nodes in each side of a block of signatures.
-TILE = 1000
+#: Nodes, and shingles of theirs, in each side of a block.
+TILE, TILE_SHINGLES = 1000, 1_000_000
 #: Signature positions compared at a time, and the chance with which a true link may be pruned at each look.
 LOOK, MISS = 16, 1e-7
 
@@ -128,21 +128,35 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
             return labels
 
 
-def candidates(x: list[dict], y: list[dict], percent: int, looks: list[tuple[int, int]]) -> list[dict]:
-    """Pairs of a node of x and one of y, in different components, near enough in size, that no look prunes.
-
-    A pair that other buckets share too is found in each; pairs are compared in rows of x, so memory is bounded by y.
-    """
+def candidates(x: list[dict], y: list[dict], band: int, percent: int, looks: list[tuple[int, int]]) -> list[dict]:
+    """Pairs of a node of x and one of y, in different components, near enough in size, that no look prunes and whose first common band is this one."""
     if not x or not y:
         return []
     sig = [np.frombuffer(b"".join(r["sig"] for r in side), np.uint32).reshape(-1, HASHES) for side in (x, y)]
     node, label, n = ([np.array([r[c] for r in side], np.int64) for side in (x, y)] for c in ("node", "label", "n"))
+    asks = {int(k) for k in node[0]}
     out = []
     for k in range(len(x)):
         other = np.flatnonzero((label[1] != label[0][k]) & (100 * n[1] >= percent * n[0][k]) & (100 * n[0][k] >= percent * n[1]))
-        for j in other[may_link(np.broadcast_to(sig[0][k], (len(other), HASHES)), sig[1][other], looks)]:
-            a, b = int(node[0][k]), int(node[1][j])
-            out.append({"a": min(a, b), "b": max(a, b)})
+        other = other[may_link(np.broadcast_to(sig[0][k], (len(other), HASHES)), sig[1][other], looks)]
+        same = (sig[1][other] == sig[0][k]).reshape(-1, BANDS, ROWS).all(axis=2)
+        a = int(node[0][k])
+        for b in node[1][other[same[:, band] & ~same[:, :band].any(axis=1)]].tolist():
+            if a < b or b not in asks:  # two that ask meet twice
+                out.append({"a": a, "b": b})
+    return out
+
+
+def confirmed(pairs: list[dict], nodes: list[dict], width: int, percent: int) -> list[dict]:
+    """The pairs that whole shingle sets link; each set is made once, of numbers that stand for shingles."""
+    number: dict[tuple[bytes, ...], int] = {}
+    sets = {r["node"]: frozenset(number.setdefault(g, len(number)) for g in shingle_set(r["text"], width)) for r in nodes}
+    out = []
+    for p in pairs:
+        a, b = sets[p["a"]], sets[p["b"]]
+        both = len(a & b)
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            out.append({"a": min(p["a"], p["b"]), "b": max(p["a"], p["b"])})
     return out
 
 
@@ -163,7 +177,7 @@ class Finder:
 
     def bands(self) -> DataFrame:
         keys = [F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
-        return self.nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+        return self.nodes.select("node", "n", F.posexplode(F.array(*keys)).alias("band", "key"))
 
     def star(self) -> DataFrame:
         """Each bucket's nodes paired with its hub: the node whose buckets are the fullest.
@@ -181,32 +195,54 @@ class Finder:
         return self.shared.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def rest(self, labels: DataFrame) -> DataFrame:
-        """Candidate pairs of a bucket that the star's links leave in different components; those in one need no comparison.
+        """Links between components that the star leaves apart; nodes of one component need no comparison.
 
-        Nodes outside their bucket's largest component are compared with all of the bucket's nodes, as blocks of
-        signatures, TILE by TILE; only pairs that no look prunes leave a block.
+        Nodes outside their bucket's largest component are compared with all of the bucket's nodes, as blocks of signatures
+        and then, where pairs are left, of whole texts. A block has at most about TILE nodes and TILE_SHINGLES shingles a
+        side, and a row leaves it for each link only.
         """
-        labelled = self.shared.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label"))
-        labelled = self.work.write(labelled, "labelled")
-        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"))
-        main = self.work.write(main.filter("labels > 1").select("key", F.col("top.label").alias("main"), (F.col("all") - F.col("top.c")).alias("minor")), "main")
-        members = labelled.join(main, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("asks"), F.ceil(F.col("minor") / TILE).cast("int").alias("rows"), F.ceil(F.col("m") / TILE).cast("int").alias("cols"))
+        labelled = self.work.write(self.shared.join(labels, "node", "left").select("key", "band", "node", "n", "m", F.coalesce("label", "node").alias("label")), "labelled")
+        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("c", "label", "s")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        tiles = lambda c, s: F.greatest(F.ceil(c / TILE), F.ceil(s / TILE_SHINGLES)).cast("int")
+        main = main.filter("labels > 1").select("key", F.col("top.label").alias("main"), tiles(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rows"), tiles(F.col("c"), F.col("s")).alias("cols"))
+        main = self.work.write(main, "main")
+        members = labelled.join(main, "key").select("key", "band", "node", "n", "label", (F.col("label") != F.col("main")).alias("asks"), "rows", "cols")
         members = self.work.write(members, "members")
         self.work.drop("labelled")
         place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asked = members.select("key", "node", "label", F.lit(False).alias("asks"), place("cols").alias("col"), every("rows").alias("row"))
-        asking = members.filter("asks").select("key", "node", "label", "asks", place("rows").alias("row"), every("cols").alias("col"))
-        cells = asked.unionByName(asking).join(self.nodes.select("node", "n", "sig"), "node")
-        blocks = cells.groupBy("key", "row", "col").agg(*(F.collect_list(F.when(F.col("asks") == side, F.struct("node", "label", "n", "sig"))).alias(name) for side, name in ((True, "x"), (False, "y"))))
-        percent, looks = self.percent, least_matches(self.percent)
-
-        def compare(xs: list[list[dict]], ys: list[list[dict]]) -> tuple[list[list[dict]]]:
-            return ([candidates(x, y, percent, looks) for x, y in zip(xs, ys, strict=True)],)
+        asked = members.withColumn("asks", F.lit(False)).withColumn("col", place("cols")).withColumn("row", every("rows"))
+        asking = members.filter("asks").withColumn("row", place("rows")).withColumn("col", every("cols"))
+        cells = asked.drop("rows", "cols").unionByName(asking.drop("rows", "cols")).join(self.nodes.select("node", "sig"), "node")
+        side = lambda x: F.collect_list(F.when(F.col("asks") == x, F.struct("node", "label", "n", "sig")))
+        block = ["key", "band", "row", "col"]
+        blocks = cells.groupBy(*block).agg(side(True).alias("x"), side(False).alias("y"))
+        width, percent, looks = self.width, self.percent, least_matches(self.percent)
+        kind = "array<struct<a:bigint,b:bigint>>"
+
+        def compare(bands: list[int], xs: list[list[dict]], ys: list[list[dict]]) -> tuple[list[list[dict]]]:
+            return ([candidates(x, y, band, percent, looks) for band, x, y in zip(bands, xs, ys, strict=True)],)
+
+        left = map_rows(blocks, block, ["band", "x", "y"], f"pairs {kind}", compare, 20).filter(F.size("pairs") > 0)
+        left = self.work.write(left, "left")
+        nodes = left.select(*block, F.explode(F.array_distinct(F.concat(F.col("pairs.a"), F.col("pairs.b")))).alias("node"))
+        nodes = self.work.write(nodes, "left-nodes")
+        texts = self.texts(nodes.select(F.col("node").alias("doc_id")).distinct(), "rest").withColumnRenamed("doc_id", "node")
+        whole = left.join(nodes.join(texts, "node").groupBy(*block).agg(F.collect_list(F.struct("node", "text")).alias("nodes")), block)
+
+        def confirm(pairs: list[list[dict]], nodes: list[list[dict]]) -> tuple[list[list[dict]]]:
+            return ([confirmed(p, n, width, percent) for p, n in zip(pairs, nodes, strict=True)],)
+
+        found = map_rows(whole, [], ["pairs", "nodes"], f"links {kind}", confirm, 1)
+        found = self.work.write(found.select(F.explode("links").alias("p")).select("p.a", "p.b").distinct(), "rest-links")
+        self.work.drop("rest-texts")
+        return found
 
-        found = map_rows(blocks, [], ["x", "y"], "pairs array<struct<a:bigint,b:bigint>>", compare, 20)
-        return found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
+    def texts(self, wanted: DataFrame, name: str) -> DataFrame:
+        """Each wanted node's own text."""
+        own = self.nodes.select(F.col("node").alias("doc_id"), "h").join(wanted, "doc_id")
+        return self.work.write(self.docs.join(own, ["doc_id", "h"]).select("doc_id", "text").dropDuplicates(["doc_id"]), f"{name}-texts")
 
     def survivors(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures no look prunes."""
@@ -223,8 +259,7 @@ class Finder:
         """Pairs that whole shingle sets confirm."""
         pairs = self.work.write(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        own = self.nodes.select(F.col("node").alias("doc_id"), "h").join(wanted, "doc_id")
-        texts = self.work.write(self.docs.join(own, ["doc_id", "h"]).select("doc_id", "text"), f"{name}-texts")
+        texts = self.texts(wanted, name)
         side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
         width, percent = self.width, self.percent
 
@@ -247,7 +282,7 @@ class Finder:
     def labels(self) -> DataFrame:
         first = self.links(self.survivors(self.star()), "star")
         labels = components(first, self.work, "first")
-        more = self.links(self.rest(labels), "rest")
+        more = self.rest(labels)
         if more.isEmpty():
             return labels
         return components(first.union(more), self.work, "all")
@@ -264,21 +299,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     don't grow into all their pairs.
 
     Empty and null texts have 0 shingles and link with nothing, nor do rows with a null id: those have component null and
-    are kept. Repeated rows are in one component and marked alike; an empty table gives no rows; other columns are not read.
+    are kept. Repeated rows are in one component and marked alike, as are all rows of one id, which count as one document; an empty table gives no rows; other columns are not read.
     """
+    return marked(docs, width, percent).drop("h")
+
+
+def marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``h``, a hash of each row's text."""
     find = Finder(docs, width, percent)
     labels = find.labels().select(F.col("node").alias("of"), "label")
     own = find.nodes.select("digest", "node").join(labels, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("label", "node").alias("label"))
-    rows = find.sketches.select("doc_id", "n", "digest").join(own, "digest", "left")
+    rows = find.sketches.select("doc_id", "h", "n", "digest").join(own, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of which each component keeps the one with its smallest id; of repeated rows one stays."""
-    kept = near_duplicates(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return ids.union(docs.filter("doc_id IS NULL").select(*docs.columns))
+    """The rows of ``docs``, all columns, of which each component keeps the one with its smallest id; of rows of one id that with the least hash of the text stays."""
+    kept = marked(docs, width, percent).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("h"))
+    h = fresh_name("h", docs.columns)
+    rows = docs.filter("doc_id IS NOT NULL").withColumn(h, F.xxhash64("text"))
+    found = rows.join(kept.withColumnRenamed("h", h), ["doc_id", h]).dropDuplicates(["doc_id"]).select(*docs.columns)
+    return found.union(docs.filter("doc_id IS NULL").select(*docs.columns))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
