@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import Workspace, table
 
-CHUNK = 2_000_000
+CHUNK = 1_450_000
 #: Tokens for each partition of the counts.
-SHARE = 4_000_000
+SHARE = 2_000_000
 #: Counts up to this one are discounted.
 KATZ = 5
 HOT, SPREAD = 256, 16
