@@ -16,7 +16,7 @@ TOKEN = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 64, 48
 #: Dimensions of word inputs, character inputs, each direction's state and attention.
 WORD, CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
-GRAMS, BUCKETS = (3, 5), 1 << 13
+GRAMS, BUCKETS = (3, 5), 1 << 16
 
 
 def tokens(text: str) -> list[str]:
@@ -160,8 +160,17 @@ class Adam:
             params[k] = (params[k] - self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-7)).astype(np.float32)
 
 
+def evidence(fewer: float) -> tuple[float, int]:
+    """For a sample whose rarer label has so many texts: how many of each label a word or n-gram is taken to be in besides, and the fewest that make it known.
+
+    A larger sample has more rare words that are in texts of one label by chance, so it asks for 4 texts, a small one for 2.
+    """
+    least = int(np.clip(np.ceil(fewer / 60), 2, 4))
+    return least**2 / 8, least
+
+
 class Model:
-    """Word vectors for words of at least two sample texts, vectors for character n-grams, the network, and a calibration.
+    """Word vectors for words that enough sample texts have (see ``evidence``), vectors for character n-grams, the network, and a calibration.
 
     A text's score is that of its highest window. Training repeats: score all windows of the sample, then fit the highest
     window of each text, and one more of each clean text, to the text's label.
@@ -189,8 +198,9 @@ class Model:
                 seen[int(y[k])].update(own)
                 of_gram[int(y[k]), np.unique(grams(own)[0])] += 1
         n1, n0 = float(y[fit].sum()), float((1 - y[fit]).sum())
-        odds = lambda a, b: np.log((a + 0.1) / (n1 + 0.2)) - np.log((b + 0.1) / (n0 + 0.2)) if a + b >= 2 else 0.0
-        vocabulary = sorted(w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 2)
+        prior, least = evidence(min(n1, n0))
+        odds = lambda a, b: np.log((a + prior) / (n1 + 2 * prior)) - np.log((b + prior) / (n0 + 2 * prior)) if a + b >= least else 0.0
+        vocabulary = sorted(w for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= least)
         self.at = {w: k + 1 for k, w in enumerate(vocabulary)}
         self.words = rng.normal(0, 0.1, (len(vocabulary) + 1, WORD)).astype(np.float32)
         self.words[:, 0] = [0.0, *(odds(seen[1][w], seen[0][w]) / 2 for w in vocabulary)]
