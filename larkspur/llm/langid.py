@@ -137,7 +137,8 @@ class Model:
 
 def learn(labelled: DataFrame, chars: int = 60_000, rows: int = 400) -> Model:
     """A model from rows (text, lang) without nulls. Fits on a bounded sample: about ``rows`` rows of each language, drawn by a
-    hash of the text, whole texts until ``chars`` characters are reached.
+    hash of the text, whole texts until ``chars`` characters are reached. Equal texts of a language count once, so that copies
+    of one text, however many, don't come to the driver.
     """
     h = F.xxhash64("text")
     kept = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -145,7 +146,7 @@ def learn(labelled: DataFrame, chars: int = 60_000, rows: int = 400) -> Model:
     if not counts:
         return Model({})
     few = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
-    drawn = kept.filter(F.pmod(h, F.lit(1 << 20)) < few[F.col("lang")] * (1 << 20)).select("lang", "text", h.alias("h"))
+    drawn = kept.filter(F.pmod(h, F.lit(1 << 20)) < few[F.col("lang")] * (1 << 20)).select("lang", "text", h.alias("h")).dropDuplicates(["lang", "h"])
     samples: dict[str, str] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["text"])):
         if len(had := samples.get(r["lang"], "")) < chars and (plain := normalise(r["text"])):

@@ -396,6 +396,14 @@ def test_cross_parsing_as_substring_search():
     assert got.tolist() == [[longest_match_phrases(plain(t), samples[x]) for x in m.langs] for t in texts]
 
 
+def test_copies_of_one_text_teach_once(spark):
+    rows = [("en", "the very same words")] * 500 + [("en", "other words here"), ("de", "the very same words")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    once = langid.learn(df.distinct(), rows=10**6)
+    m = langid.learn(df, rows=10**6)
+    assert m.langs == ["de", "en"] and m.bits.tolist() == once.bits.tolist() and all((a == b).all() for a, b in zip(m.tables, once.tables, strict=True))
+
+
 def test_language_odd(spark, odd):
     m = langid.learn(odd.filter(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
     rows = langid.identify(odd, m).collect()
