@@ -69,10 +69,11 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     with the sources, a row for each.
     """
     sized = docs.select("source", words(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, most).select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
-    copies = F.floor("_rate") + (chance(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    rows = docs.join(targets, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(fresh_name("copy", docs.columns)))
+    of, rate, times = (fresh_name(x, docs.columns) for x in ("_of", "_rate", "_copies"))
+    targets = source_targets(sized, weights, most).select(F.col("source").alias(of), F.col("rate").alias(rate))
+    copies = F.floor(rate) + (chance(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate)).cast("long")
+    rows = docs.join(targets, F.col("source").eqNullSafe(F.col(of))).withColumn(times, copies.cast("int")).filter(F.col(times) > 0)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(fresh_name("copy", docs.columns)))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,6 +444,8 @@ def test_mix_odd(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 11 and all(0 <= r.copies <= 3 for r in rows) and {r.size for r in rows if r.doc_id in (2, 3, 4)} == {0}
     assert sorted(map(repr, mixing.mix(odd).collect())) == sorted(map(repr, rows))
+    clash = mixing.emit(odd.withColumns({c: F.lit(1) for c in ("_of", "_rate", "_copies")}))
+    assert clash.count() == sum(r.copies for r in rows)
     out = mixing.emit(odd)
     assert out.columns == [*odd.columns, "copy_"] and out.count() == sum(r.copies for r in rows)
     assert mixing.mix(empty(spark, odd)).count() == 0 and mixing.emit(empty(spark, odd)).count() == 0
