@@ -51,18 +51,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def good_turing(n: list[int]) -> np.ndarray | None:
+    """Katz's Good-Turing factors of counts 1 to KATZ from smoothed numbers of types with counts 1 to KATZ + 1.
+
+    Simple Good-Turing: each number is averaged over the empty counts beside it, and log Z is fitted as linear in log r, weighted
+    by Z, the inverse variance of its logarithm. So a bump, as groups of copies make one, cannot push a factor out of
+    (0, 1): below a slope of -1 all are inside. None without such a fit: fewer than two numbers, or a flatter slope.
+    """
+    r = np.flatnonzero(n) + 1.0
+    if len(r) < 2:
+        return None
+    before = np.r_[0.0, r[:-1]]
+    after = np.r_[r[1:], 2 * r[-1] - before[-1]]
+    z = 2 * np.array(n, float)[r.astype(np.int64) - 1] / (after - before)
+    slope = np.polyfit(np.log(r), np.log(z), 1, w=np.sqrt(z))[0]
+    if slope >= -1:
+        return None
+    common = (KATZ + 1) ** (slope + 1)
+    return ((1 + 1 / np.arange(1, KATZ + 1)) ** (slope + 1) - common) / (1 - common)
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Discount factors of counts 0 to KATZ from the numbers of types with counts 1 to KATZ + 1.
 
-    Good-Turing's, rescaled so that counts above KATZ stay; where these numbers give no factors between 0 and 1, as on
-    little data, one part n1 / (n1 + 2 n2) of a count is taken off each instead.
+    Good-Turing's, rescaled so that counts above KATZ stay; only where their numbers do not fall with the count (see
+    ``good_turing``), as on a handful of texts, one part n1 / (n1 + 2 n2) of a count is taken off each instead.
     """
-    if min(n) > 0:
-        common = (KATZ + 1) * n[KATZ] / n[0]
-        if common < 1:
-            d = [((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common) for r in range(1, KATZ + 1)]
-            if all(0 < x <= 1 for x in d):
-                return np.array([0.0, *d])
+    d = good_turing(n)
+    if d is not None:
+        return np.array([0.0, *d])
     part = min(0.9, n[0] / (n[0] + 2 * n[1])) if n[0] + n[1] else 0.5
     return np.array([0.0, *((r - max(part, 0.1)) / r for r in range(1, KATZ + 1))])
 

@@ -320,6 +320,30 @@ def test_lm_beats_the_base_and_takes_odd_rows(spark, docs, odd):
     assert lm.score(empty(spark, odd)).count() == 0
 
 
+def test_good_turing_runs_on_the_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        number = {b"": 0}
+        one, two = [], []
+        for r in table(spark, f"/root/testdata/{sf}", "documents").select("doc_id", "text").collect():
+            if lm.crc32(str(r.doc_id).encode()) % 10:
+                own = np.array([*(number.setdefault(w, len(number)) for w in r.text.encode().lower().split()), 0])
+                one.append(own)
+                two.append(np.r_[0, own[:-1] + 1] << 32 | own)
+        for kinds in (one, two):
+            n = [int((np.unique(np.concatenate(kinds), return_counts=True)[1] == r).sum()) for r in range(1, lm.KATZ + 2)]
+            slope = np.polyfit(np.log(range(1, lm.KATZ + 2)), np.log(n), 1, w=np.sqrt(n))[0]
+            smooth = [r**slope for r in range(1, lm.KATZ + 2)]
+            common = (lm.KATZ + 1) * smooth[-1] / smooth[0]
+            want = [((r + 1) * smooth[r] / (r * smooth[r - 1]) - common) / (1 - common) for r in range(1, lm.KATZ + 1)]
+            got = lm.discounts(n)
+            assert np.allclose(got[1:], want) and all(0 < x < 1 for x in want) and (np.diff(got) > 0).all()
+
+
+def test_discounts_where_nothing_can_be_fitted():
+    assert lm.good_turing([0] * 6) is None and lm.good_turing([5, 0, 0, 0, 0, 0]) is None and lm.good_turing([1, 2, 3, 4, 5, 6]) is None
+    assert all(((0 < d[1:]) & (d[1:] < 1)).all() for d in map(lm.discounts, ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 2, 3, 4, 5, 6], [9, 0, 2, 0, 0, 1])))
+
+
 # 6, 7, 9 ------------------------------------------------------------------------------------------------------------
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
