@@ -7,25 +7,38 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import GAP, table
-
-#: Words in a k-mer and in its inner s-mers. Of K - S + 1 inner s-mers the least must be the first or the last.
+from larkspur.llm.common import table
+
+VOWEL = "[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ]"
+LETTER = "[a-zß-öø-ÿœ]"
+CONSONANT = f"[{LETTER}&&[^{VOWEL}]]"
+#: What texts are made of: Latin letters up to one to three vowels, with the last consonants of a word, nine at most; any
+#: other character but white space alone. Where a unit ends is told by the letters beside it, so units fall into step
+#: again soon after an edit, without spaces too.
+UNIT = rf"{CONSONANT}{{0,3}}{VOWEL}{{1,3}}(?:{CONSONANT}{{1,3}}(?!{LETTER}))?|{CONSONANT}{{1,4}}|[^\x20\x09-\x0D]"
+#: Units in a k-mer and in its inner s-mers. Of K - S + 1 inner s-mers the least must be the first or the last.
 K, S = 8, 3
 LAST = K - S
+#: Copies of the first and of the last unit before and after a fingerprinted text, so that its first k-mer holds one unit.
+ENDS = K - 1
 #: Rows that one range of ids should hold, and the most ranges.
 RANGE_ROWS, RANGES, CHUNK = 2000, 16384, 128
 
 
-def anchors(rows: DataFrame, text: str, to: str) -> DataFrame:
-    """``rows`` with ``to``: distinct hashes of the closed syncmers of the words of column ``text``, in order of place.
+def anchors(rows: DataFrame, text: str, to: str, ends: int = 0) -> DataFrame:
+    """``rows`` with ``to``: distinct hashes of the closed syncmers of the units of column ``text``, in order of place.
 
-    A k-mer is chosen by its own words alone, so an edit changes only the anchors that overlap it. Words are lower-cased.
-    A text with words but no syncmer (fewer than K words, or none that qualifies) has one anchor, of all its words; null,
-    empty and blank texts have none.
+    A k-mer is chosen by its own units alone, so an edit changes only the anchors that overlap it. Texts are lower-cased,
+    and white space only ends units. The first and last unit are repeated ``ends`` times; with ENDS, the k-mers of the first
+    unit and of the last are always chosen, so any text of unlike units has several anchors. Without, a text that has no
+    syncmer has one anchor, of all its units. Null, empty and blank texts have none.
     """
     h, s, n = f"_{to}_h", f"_{to}_s", f"_{to}_n"
     # Each step reads the one before more than once, so the optimiser keeps them apart and each is computed once a row.
-    rows = rows.withColumn(h, F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), GAP, -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    rows = rows.withColumn(h, F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u)))
+    if ends:
+        more = lambda i: F.array_repeat(F.get(F.col(h), i), ends)
+        rows = rows.withColumn(h, F.when(F.size(h) > 0, F.concat(more(F.lit(0)), F.col(h), more(F.size(h) - 1))).otherwise(F.col(h)))
     rows = rows.withColumn(n, F.size(h))
     rows = rows.withColumn(s, F.transform(F.col(h), lambda x, i: F.xxhash64(x, *(F.get(F.col(h), i + k) for k in range(1, S)))))
     at = lambda i, k: F.get(F.col(s), i + k)
@@ -94,7 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
-    rows = anchors(anchors(rows, "text", "own"), "edited", "changed")
+    rows = anchors(anchors(rows, "text", "own", ENDS), "edited", "changed", ENDS)
     rows = rows.select("part", "extra", "key", F.xxhash64("text").alias("tie"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", "text")
     rows = rows.withColumn("ahead", F.lead("own").over(follows)).filter(~F.col("extra"))
     return rows.select(

@@ -236,6 +236,29 @@ def test_syncmers_by_definition(spark):
         assert len(r.a) == len({(s[k], s[k + 3], s[k + 5]) for k in chosen}) if chosen else len(r.a) == 1
 
 
+def test_likeness_by_length_class(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    words = {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    near = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprint.fingerprints(docs).collect()}
+    for low, high, least in ((0, 8, 0.25), (8, 16, 0.4), (16, 64, 0.6), (64, 10**9, 0.7)):
+        own = [near[k] for k, n in words.items() if low <= n < high]
+        zero = sum(x == 0 for x, _ in own)
+        assert len(own) > 5 and zero <= 0.1 * len(own) and np.median([x for x, _ in own]) > least and np.median([x for _, x in own]) < 0.05, (low, zero)
+
+
+def test_unspaced_and_short_texts_have_several_anchors(spark):
+    rng = random.Random(5)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(40))
+    latin = "".join(rng.choice("bcdfghlmnrst") * rng.choice((1, 1, 2)) + rng.choice("aeiou") for _ in range(300))
+    rows = [(1, cjk), (2, latin), (3, "two words"), (4, "x" * 500), (5, latin[:400] + "k" + latin[400:]), (6, "0123456789abcdef" * 2)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    anchors = {k: set(r.fingerprint.split()) for k, r in got.items()}
+    assert all(len(anchors[k]) > 3 for k in (1, 2, 3, 5, 6)) and len(anchors[4]) == 1
+    near = {k: r.near_edited for k, r in got.items()}
+    assert near[3] > 0 and min(near[k] for k in (1, 2, 5, 6)) > 0.3, near
+    assert 2 * len(anchors[2] & anchors[5]) / (len(anchors[2]) + len(anchors[5])) > 0.9
+
+
 def test_fingerprints_odd(spark, odd):
     rows = fingerprint.fingerprints(odd).collect()
     assert len(rows) == 11
