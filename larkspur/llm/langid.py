@@ -136,13 +136,13 @@ class Model:
 
 
 def learn(labelled: DataFrame, chars: int = 60_000, rows: int = 400) -> Model:
-    """A model from rows (text, lang) without nulls. Fits on a bounded sample: about ``rows`` rows of each language, drawn by a
-    hash of the text, whole texts until ``chars`` characters are reached. Equal texts of a language count once, so that copies
-    of one text, however many, don't come to the driver.
+    """A model from rows (text, lang) without nulls. Fits on a bounded sample: about ``rows`` texts of each language, drawn by a
+    hash of the text, whole texts until ``chars`` characters are reached. Equal texts of a language count once, in the rate of
+    the draw too, so that copies of one text, however many, neither come to the driver nor use up the draw.
     """
     h = F.xxhash64("text")
     kept = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in kept.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model({})
     few = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])

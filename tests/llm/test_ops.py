@@ -451,6 +451,14 @@ def test_copies_of_one_text_teach_once(spark):
     assert m.langs == ["de", "en"] and m.bits.tolist() == once.bits.tolist() and all((a == b).all() for a, b in zip(m.tables, once.tables, strict=True))
 
 
+def test_copies_do_not_use_up_the_draw(spark, monkeypatch):
+    spell = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:04d}")
+    rows = [("en", "the very same words")] * 9000 + [("en", spell(k)) for k in range(1000)]
+    monkeypatch.setattr(langid, "Model", lambda samples: samples)
+    got = langid.learn(spark.createDataFrame(rows, "lang string, text string"), rows=200)["en"].split()
+    assert 150 < len({w for w in got if len(w) == 4 and set(w) <= set("abcdefghij")}) < 250
+
+
 def test_language_odd(spark, odd):
     m = langid.learn(odd.filter(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
     rows = langid.identify(odd, m).collect()
