@@ -54,7 +54,7 @@ def anchors(rows: DataFrame, text: str, to: str, ends: int = 0) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors, twice, over those of both; two empty fingerprints are alike, an empty one is like no other."""
+    """Shared anchors, twice, over those of both, wherever they are; two empty fingerprints are alike, an empty one is like no other."""
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
