@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,31 +32,72 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one process, as in tests, gets a temporary one; on a cluster each machine would write
+    to its own disk, so there it is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+#: Removes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those that no later step reads."""
+    """Tables written to the shared folder to cut lineage.
+
+    ``drop`` removes those that no later step reads; the others serve the result, which runs after its operator has
+    returned, and go when the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession, kind: str):
-        self.spark = spark
-        self.path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        self.spark, self.path, self.known = spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}", []
+        atexit.register(self.close)
+
+    @contextlib.contextmanager
+    def _clean(self) -> Iterator[None]:
+        had = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(CLEAN) if had is None else self.spark.conf.set(CLEAN, had)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         to = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(to)
-        return self.spark.read.parquet(to)
+        with self._clean():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(to)
+        return self.spark.read.schema(df.schema).parquet(to)
+
+    def write_bucketed(self, df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+        """The same with rows dealt by a column, so that joins by it leave them where they are. The catalogue knows the table meanwhile."""
+        known = f"larkspur_{uuid.uuid4().hex}"
+        with self._clean():
+            df.write.bucketBy(buckets, by).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(known)
+        self.known.append(known)
+        return self.spark.table(known)
 
     def drop(self, name: str) -> None:
+        """Removes a table, or with an empty name all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Removes everything; a session that has ended takes nothing any more."""
+        with contextlib.suppress(Exception):
+            for known in self.known:
+                self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+            self.drop("")
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, of: int, left_out: int) -> tuple[list[tuple[str, int]], dict[int, float]]:
     """At most ``rows`` labelled texts of each class, and the share of each class's labels that these are.

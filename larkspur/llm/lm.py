@@ -1,16 +1,22 @@
-"""Language-model scores by Katz backoff: Good-Turing discounted counts of words and word pairs, exactly normalised.
-
-Texts become chunks: some millions of tokens as numbers of a dictionary of the chunk's own. Chunks and partitions of the
-counts exchange packed arrays: a chunk sends each of its distinct words (then word pairs) once to the partition that
-counts it, and gets the totals back in the same order. So what is shuffled is a few bytes a distinct entry, a frequent word
-or pair counts once a chunk, and neither side holds more than a chunk or a partition. Histories with more than 1/256 of
-all tokens are spread over SPREAD partitions, and their sums are added up afterwards; there are 256 of them at most.
+"""Language-model scores by Katz backoff: Good-Turing discounted counts of n-grams, exactly normalised, order by order.
+
+Texts become chunks: about a million tokens as numbers of a dictionary of the chunk's own. For each order, a chunk sends each
+of its distinct n-grams once, with the probability that the order below gives its last word, to the partition that holds
+all n-grams of that history; the partition counts them, and gives counts, the history's sums and the n-grams' own numbers
+back in the same order. The numbers are the histories of the next order, so that order n + 1 lies in the partitions of
+order n. From the answers and the order's discounts, which the driver works out from the sums over all partitions, a chunk
+evaluates the recursion for each of its n-grams: the discounted share where it was seen, else the history's backoff weight
+times what the order below gives.
+
+What is shuffled is a few bytes for each distinct n-gram of a chunk, so it grows with the input; a frequent n-gram counts
+once a chunk; and neither side holds more than a chunk or a partition. The n-grams of a history with more than about half a
+partition's tokens are spread by their last word, over as many partitions as its tokens would fill twice, and its sums are added up.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,12 +29,15 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import Workspace, table
 
-CHUNK = 1_450_000
-#: Tokens for each partition of the counts.
-SHARE = 2_000_000
+ORDER = 3
+#: Tokens of a chunk, and tokens for each partition of the counts.
+CHUNK, SHARE = 1_000_000, 1_500_000
+#: Histories spread at most, so that their sums stay few; one has more than this part of all tokens.
+SPREAD = 65_536
 #: Counts up to this one are discounted.
 KATZ = 5
-HOT, SPREAD = 256, 16
+#: A number is a partition and, in its lower bits, a place in it.
+PLACE = np.uint64(24)
 BEGIN = np.uint64(1 << 63)
 FOLDS, HELD = 10, 0
 
@@ -46,6 +55,15 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def pack_steps(a: np.ndarray) -> bytes:
+    """Whole numbers that mostly rise, as steps."""
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unpack_steps(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unpack(data, kind), dtype=kind)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -105,6 +123,26 @@ class Words:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
 
+class Grams:
+    """What the driver knows of an order above the first: its discounts, and the sums of histories that are spread."""
+
+    def __init__(self, n: list[int], spread: dict[int, tuple[np.ndarray, float]]):
+        self.d, self.spread = discounts(n), spread
+
+    def probability(self, count: np.ndarray, sums: np.ndarray, few: np.ndarray, free: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The discounted share where the n-gram was seen; else the history's backoff weight times the lower order's probability.
+
+        The weight is what discounting leaves of the history's ``sums``, over ``free``: the lower order's probability of all
+        words not seen after the history (the unknown word is never seen, so that is above 0). So a history's
+        probabilities add up to 1. One from which nothing is discounted leaves 1 / (sum + 1); one never seen leaves all.
+        """
+        total = np.maximum(sums, 1)
+        left = (np.arange(1, KATZ + 1)[:, None] * few * (1 - self.d[1:, None])).sum(axis=0) / total
+        kept = np.where(sums > 0, np.maximum(left, 1 / (total + 1)), 1.0)
+        seen = (1 - kept) / np.maximum(1 - left, 1e-300) * discounted(count, self.d) / total
+        return np.where(count > 0, seen, kept / np.maximum(np.where(sums > 0, free, 1.0), 1e-300) * lower)
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents to rows of chunks. A text's tokens are its words and one end, the empty word, which is number 0."""
     part, nth = TaskContext.get().partitionId(), 0
@@ -116,8 +154,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-        cells = [[part << 32 | nth], [ids], [pack(np.array([len(t) for t in texts], np.uint32))], [pack(np.array(held, np.uint8))], [pack(np.concatenate(texts))], [pack(words)], [size]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()), strict=True)], names=["chunk", "ids", "lens", "held", "tokens", "words", "size"])
+        cells = [[part << 32 | nth], [ids], [pack(np.array([len(t) for t in texts], np.uint32))], [pack(np.array(held, np.uint8))], [pack(np.concatenate(texts))], [pack(words)], [size], [held.count(False)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()), strict=True)], names=["chunk", "ids", "lens", "held", "tokens", "words", "size", "learnt"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -134,55 +172,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-class Chunk:
-    """One chunk's tokens, and how its words lie in the partitions."""
-
-    def __init__(self, r: dict, parts: int):
-        self.ids, self.lens, self.tokens = r["ids"], unpack(r["lens"], np.uint32).astype(np.int64), unpack(r["tokens"], np.uint32).astype(np.int64)
-        self.held, self.words = unpack(r["held"], np.uint8), unpack(r["words"], np.uint64)
-        self.learnt = np.repeat(self.held == 0, self.lens)
-        self.part = ((self.words >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-        self.order = np.lexsort((self.words, self.part))
-        self.starts = np.cumsum(self.lens) - self.lens
-
-    def spans(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each partition and the numbers of the chunk's words in it, by hash."""
-        p = self.part[self.order]
-        for k in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1):
-            yield int(p[k[0]]), self.order[k]
-
-    def learn_words(self, got: list[dict]) -> None:
-        """Global numbers and counts of the words, from what the partitions sent back."""
-        self.number, self.count = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
-        by_part = {g["p"]: g for g in got}
-        for p, k in self.spans():
-            self.number[k] = unpack(by_part[p]["rank"], np.uint32).astype(np.uint64) | np.uint64(p << 32)
-            self.count[k] = unpack(by_part[p]["count"], np.uint64)
-
-    def pairs(self, parts: int, hot: np.ndarray) -> None:
-        """Distinct pairs of a token and the one before it, in the order of partition, history and word."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1] + 1
-        before[self.starts] = 0
-        key = before * len(self.words) + self.tokens
-        uniq, self.pair = np.unique(key, return_inverse=True)
-        h, w = uniq // len(self.words), uniq % len(self.words)
-        self.h = np.where(h > 0, self.number[h - 1], BEGIN)
-        self.w, self.cw = self.number[w], self.count[w]
-        self.n = np.bincount(self.pair, self.learnt, len(uniq)).astype(np.uint32)
-        at = mix(self.h)
-        at = np.where(np.isin(self.h, hot), at + mix(self.w) % np.uint64(SPREAD), at)
-        self.pair_part = (at % np.uint64(parts)).astype(np.int64)
-        self.pair_order = np.lexsort((self.w, self.h, self.pair_part))
-
-    def pair_spans(self) -> Iterator[tuple[int, np.ndarray]]:
-        p = self.pair_part[self.pair_order]
-        for k in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1):
-            yield int(p[k[0]]), self.pair_order[k]
-
-
 def firsts(*columns: np.ndarray) -> np.ndarray:
-    """Where sorted columns begin new values."""
+    """Where columns begin new values."""
     new = np.zeros(len(columns[0]), bool)
     new[:1] = True
     for c in columns:
@@ -190,110 +181,173 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def spans(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each partition's stretch of entries in order of partition."""
+    ends = [*firsts(part), len(part)]
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield int(part[a]), slice(a, b)
+
+
+def by_part(part: np.ndarray) -> np.ndarray:
+    """The order by partition that keeps the order within; numbers of two bytes are sorted by radix."""
+    return np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
+
+
+class Chunk:
+    """One chunk's tokens, and its n-grams of the order reached. ``p`` is each token's probability by that order."""
+
+    def __init__(self, r: dict, parts: int):
+        self.parts, self.ids, self.lens = parts, r["ids"], unpack(r["lens"], np.uint32).astype(np.int64)
+        self.tokens, self.held, self.hashes = unpack(r["tokens"], np.uint32).astype(np.int64), unpack(r["held"], np.uint8), unpack(r["words"], np.uint64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.learnt = np.repeat(self.held == 0, self.lens)
+        order = np.argsort(self.hashes)
+        part = ((self.hashes[order] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+        again = by_part(part)
+        self.order, self.part = order[again], part[again]  # words by partition and hash
+
+    def words(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What is sent of the words: hashes and how often the chunk's training texts have them."""
+        n = np.bincount(self.tokens, self.learnt, len(self.hashes)).astype(np.uint32)
+        for p, k in spans(self.part):
+            yield p, self.hashes[self.order[k]], n[self.order[k]]
+
+    def learn_words(self, got: dict[int, dict], words: Words, begins: int) -> None:
+        """From here on, words are numbered in the order of their global numbers; after them comes what stands before a text."""
+        size = len(self.hashes)
+        number, count = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        for p, k in spans(self.part):
+            number[self.order[k]] = unpack(got[p]["place"], np.uint32) | np.uint64(p) << PLACE
+            count[self.order[k]] = unpack(got[p]["count"], np.uint64)
+        order = np.argsort(number)
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        self.w = place[self.tokens]
+        self.word_number = np.append(number[order], BEGIN)
+        count = count[order]
+        self.p = words.probability(count).astype(np.float32)[self.w]
+        self.known = np.add.reduceat((count > 0)[self.w].astype(np.int64), self.starts)
+        self.base = np.add.reduceat(words.base(count)[self.w], self.starts)
+        self.number, self.count = self.word_number, np.append(count, begins)
+        self.gram = self.w
+
+    def grams(self, order: int, limit: int) -> None:
+        """Distinct n-grams of the next order, by partition, history and word: a token after the n-gram of the order reached that ends before it.
+
+        A text's first token follows what stands before all texts; tokens with fewer tokens before them than ``order`` asks for have no n-gram.
+        """
+        history = np.empty_like(self.gram)
+        history[1:] = self.gram[:-1]
+        history[self.starts] = len(self.word_number) - 1 if order == 2 else -1
+        self.has = np.flatnonzero(history >= 0) if order > 2 else slice(None)
+        key = history[self.has] * len(self.word_number) + self.w[self.has]
+        at = np.argsort(key)
+        first = firsts(key[at])
+        sizes = np.diff(np.r_[first, len(key)])
+        h, w = np.divmod(key[at[first]], len(self.word_number))
+        number, many = self.number[h], self.count[h]
+        part = ((number >> PLACE) % np.uint64(self.parts)).astype(np.int64)
+        self.hot = np.flatnonzero(many > limit)
+        over = -(-2 * many[self.hot] // limit)
+        part[self.hot] = (part[self.hot] + (mix(self.word_number[w[self.hot]]) % over.astype(np.uint64)).astype(np.int64)) % self.parts
+        again = by_part(part)
+        place = np.empty(len(again), np.int64)
+        place[again] = np.arange(len(again))
+        of = np.empty(len(key), np.int64)
+        of[at] = np.repeat(place, sizes)
+        self.part, self.h, self.word = part[again], number[again], self.word_number[w[again]]
+        self.spread = np.isin(np.arange(len(again)), place[self.hot]) if len(self.hot) else np.zeros(len(again), bool)
+        self.lower = self.p[self.has][at[first[again]]]
+        self.n = np.bincount(of, self.learnt[self.has], len(again)).astype(np.uint32)
+        self.of = of
+
+    def learn(self, got: dict[int, dict], model: Grams, last: bool) -> None:
+        """The n-grams' probabilities from what the partitions sent back."""
+        size = len(self.h)
+        count, sums, free, number = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size), np.zeros(size, np.uint64)
+        few = np.zeros((KATZ, size), np.int64)
+        for p, k in spans(self.part):
+            g = got[p]
+            count[k] = unpack(g["count"], np.uint32)
+            first = firsts(self.h[k])
+            at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, k.stop - k.start]))
+            sums[k], few[:, k] = unpack(g["sums"], np.uint64)[at], unpack(g["few"], np.uint32).reshape(KATZ, len(first))[:, at]
+            asked = np.logical_or.reduceat(count[k] == 0, first)
+            own = np.ones(len(first))
+            own[asked] = unpack(g["free"], np.float32)
+            free[k] = own[at]
+            if not last:
+                number[k] = unpack_steps(g["place"], np.uint32) | np.uint64(p) << PLACE
+        for h, (whole, covered) in model.spread.items():
+            k = np.flatnonzero(self.h[self.spread] == np.uint64(h)) if self.spread.any() else []
+            if len(k):
+                k = np.flatnonzero(self.spread)[k]
+                sums[k], few[:, k], free[k] = whole[0], whole[1:, None], 1 - covered
+        p = model.probability(count, sums, few, free, self.lower.astype(np.float64)).astype(np.float32)
+        self.p[self.has] = p[self.of]
+        gram = np.full(len(self.tokens), -1)
+        gram[self.has] = self.of
+        self.gram, self.number, self.count = gram, number, count
+
+    def scores(self) -> np.ndarray:
+        return np.add.reduceat(np.log10(self.p.astype(np.float64)), self.starts)
+
+
+ANSWER = {"chunk": pa.int64(), "p": pa.int32(), "place": pa.binary(), "count": pa.binary(), "sums": pa.binary(), "few": pa.binary(), "free": pa.binary(), "total": pa.list_(pa.int64()), "spread": pa.list_(pa.int64()), "covered": pa.list_(pa.float64())}
+ANSWER_ROWS = "chunk long, p int, place binary, count binary, sums binary, few binary, free binary, total array<bigint>, spread array<bigint>, covered array<double>"
+
+
+def answers(rows: list[dict]) -> pa.Table:
+    return pa.table({c: pa.array([r.get(c) for r in rows], t) for c, t in ANSWER.items()})
+
+
 def count_words(group: pa.Table) -> pa.Table:
-    """A partition's words: totals and ranks by total back to each chunk, and one row of sums."""
+    """A partition's words: totals and places by total back to each chunk, and one row of sums."""
     chunk, p = group.column("chunk").to_pylist(), group.column("p")[0].as_py()
-    words = [unpack(x, np.uint64) for x in group.column("words").to_pylist()]
+    words = [unpack(x, np.uint64) for x in group.column("word").to_pylist()]
     uniq, inv = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(inv, np.concatenate([unpack(x, np.uint32) for x in group.column("n").to_pylist()])).astype(np.int64)
-    rank = np.empty(len(uniq), np.uint32)
-    rank[np.argsort(-total, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
+    place = np.empty(len(uniq), np.uint32)
+    place[np.argsort(-total, kind="stable")] = np.arange(len(uniq), dtype=np.uint32)
     ends = np.cumsum([len(w) for w in words])[:-1]
-    hot = np.flatnonzero((total * HOT > total.sum()) & (total > 0))
     of = np.bincount(np.minimum(total, KATZ + 2), minlength=KATZ + 3)
-    rows = {
-        "chunk": [*chunk, None], "p": [p] * (len(chunk) + 1), "rank": [*(pack(rank[k]) for k in np.split(inv, ends)), None],
-        "count": [*(pack(total[k].astype(np.uint64)) for k in np.split(inv, ends)), None],
-        "sums": [*[None] * len(chunk), [int(total.sum()), int((total > 0).sum()), *map(int, of[1 : KATZ + 2])]],
-        "hot": [*[None] * len(chunk), [int(x) for k in hot for x in (p << 32 | int(rank[k]), total[k])]],
-    }
-    return pa.table(rows, schema=pa.schema([("chunk", pa.int64()), ("p", pa.int32()), ("rank", pa.binary()), ("count", pa.binary()), ("sums", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))]))
-
-
-WORD_ROWS = "chunk long, p int, rank binary, count binary, sums array<bigint>, hot array<bigint>"
-PAIR_ROWS = "chunk long, p int, count binary, history binary, few binary, covered binary, sums array<bigint>, hot array<bigint>, hot_covered array<double>"
-
-
-def pair_counter(words: Words, hot: np.ndarray):
-    def count_pairs(group: pa.Table) -> pa.Table:
-        """A partition's pairs: totals back to each chunk, and for each of its histories the sum, the numbers of low counts and the summed single probabilities of the words seen after it."""
-        chunk, p = group.column("chunk").to_pylist(), group.column("p")[0].as_py()
-        get = lambda name, kind: [unpack(x, kind) for x in group.column(name).to_pylist()]
-        hs, ws = get("h", np.uint64), get("w", np.uint64)
-        sizes = [len(x) for x in hs]
-        h, w, n, cw = np.concatenate(hs), np.concatenate(ws), np.concatenate(get("n", np.uint32)), np.concatenate(get("cw", np.uint64))
-        order = np.lexsort((w, h))
-        first = firsts(h[order], w[order])
-        total = np.add.reduceat(n[order].astype(np.int64), first)
-        kind = np.empty(len(h), np.int64)
-        kind[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-        th, seen = h[order][first], total > 0
-        single = np.where(seen, words.probability(cw[order][first]), 0.0)
-        top = firsts(th)
-        uh, sums, covered = th[top], np.add.reduceat(total, top), np.add.reduceat(single, top)
-        few = np.stack([np.add.reduceat((total == r).astype(np.int64), top) for r in range(1, KATZ + 1)])
-        of = np.bincount(np.minimum(total, KATZ + 2), minlength=KATZ + 3)
-        ends = np.cumsum(sizes)[:-1]
-        own = [np.searchsorted(uh, np.unique(x)) for x in hs]
-        mine = np.flatnonzero(np.isin(uh, hot))
-        rows = {
-            "chunk": [*chunk, None], "p": [p] * (len(chunk) + 1), "count": [*(pack(total[k].astype(np.uint32)) for k in np.split(kind, ends)), None],
-            "history": [*(pack(sums[k].astype(np.uint64)) for k in own), None], "few": [*(pack(few[:, k].astype(np.uint32).ravel()) for k in own), None],
-            "covered": [*(pack(covered[k]) for k in own), None], "sums": [*[None] * len(chunk), [int(x) for x in of[1 : KATZ + 2]]],
-            "hot": [*[None] * len(chunk), [int(x) for k in mine for x in (uh[k].view(np.int64), sums[k], *few[:, k])]], "hot_covered": [*[None] * len(chunk), [float(covered[k]) for k in mine]],
-        }
-        kinds = [("chunk", pa.int64()), ("p", pa.int32()), *((c, pa.binary()) for c in ("count", "history", "few", "covered")), ("sums", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("hot_covered", pa.list_(pa.float64()))]
-        return pa.table(rows, schema=pa.schema(kinds))
-
-    return count_pairs
-
-
-class Model:
-    """What the driver knows: sums over all partitions, and the sums of the few hottest histories."""
-
-    def __init__(self, words: Words, n: list[int], hot: dict[int, tuple[np.ndarray, float]]):
-        self.words, self.d, self.hot = words, discounts(n), hot
-
-    def scores(self, c: Chunk, got: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each document: known tokens, base and backoff score."""
-        size = len(c.h)
-        count, sums, covered = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
-        few = np.zeros((KATZ, size), np.int64)
-        by_part = {g["p"]: g for g in got}
-        for p, k in c.pair_spans():
-            g = by_part[p]
-            count[k] = unpack(g["count"], np.uint32)
-            uh, at = np.unique(c.h[k], return_inverse=True)
-            sums[k], covered[k] = unpack(g["history"], np.uint64)[at], unpack(g["covered"], np.float64)[at]
-            few[:, k] = unpack(g["few"], np.uint32).reshape(KATZ, len(uh))[:, at]
-        for h, (whole, cover) in self.hot.items():
-            k = c.h == np.uint64(h)
-            sums[k], covered[k], few[:, k] = whole[0], cover, whole[1:, None]
-        per_pair = self.logs(count, sums, few, covered, self.words.probability(c.cw))
-        per_word = self.words.base(c.count)
-        known = np.add.reduceat((c.count[c.tokens] > 0).astype(np.int64), c.starts)
-        return known, np.add.reduceat(per_word[c.tokens], c.starts), np.add.reduceat(per_pair[c.pair], c.starts)
-
-    def logs(self, count: np.ndarray, sums: np.ndarray, few: np.ndarray, covered: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """log10 of a word's probability after its history; see ``probabilities``."""
-        return np.log10(self.probabilities(count, sums, few, covered, single))
-
-    def probabilities(self, count: np.ndarray, sums: np.ndarray, few: np.ndarray, covered: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """The discounted share where the pair was seen; else the history's backoff weight times the word's own probability.
-
-        The weight is what discounting leaves, over the single probability of all words not seen after the history, so
-        that a history's probabilities add up to 1. A history from which nothing is discounted leaves 1 / (sum + 1). A
-        history never seen leaves all to single words.
-        """
-        r = np.arange(1, KATZ + 1)[:, None]
-        total = np.maximum(sums, 1)
-        left = (r * few * (1 - self.d[1:, None])).sum(axis=0) / total
-        free = 1 - covered
-        kept = np.where(free > 1e-12, np.maximum(left, 1 / (total + 1)), 0.0)
-        kept = np.where(sums > 0, kept, 1.0)
-        scale = np.where(sums > 0, (1 - kept) / np.maximum(1 - left, 1e-300), 0.0)
-        seen = scale * discounted(count, self.d) / total
-        return np.where(count > 0, seen, kept / np.maximum(np.where(sums > 0, free, 1.0), 1e-300) * single)
+    out = [{"chunk": c, "p": p, "place": pack(place[k]), "count": pack(total[k].astype(np.uint64))} for c, k in zip(chunk, np.split(inv, ends), strict=True)]
+    return answers([*out, {"p": p, "total": [int(total.sum()), int((total > 0).sum()), *map(int, of[1 : KATZ + 2])]}])
+
+
+def count_grams(group: pa.Table, last: bool) -> pa.Table:
+    """A partition's n-grams: totals back to each chunk, and for each of its histories the sum, the numbers of low counts and the
+    lower order's probability left for words not seen after it, where the chunk has such a word; and one row of sums.
+    """
+    chunk, p = group.column("chunk").to_pylist(), group.column("p")[0].as_py()
+    get = lambda name, how, kind: [how(x, kind) for x in group.column(name).to_pylist()]
+    hs, w = get("h", unpack_steps, np.uint64), np.concatenate(get("word", unpack, np.uint64))
+    n, lower = np.concatenate(get("n", unpack, np.uint32)), np.concatenate(get("lower", unpack, np.float32))
+    sizes, begins = [len(h) for h in hs], [firsts(h) for h in hs]
+    uh = np.unique(np.concatenate([h[f] for h, f in zip(hs, begins, strict=True)]))
+    own = [np.searchsorted(uh, h[f]) for h, f in zip(hs, begins, strict=True)]
+    h = np.concatenate([np.repeat(o, np.diff(np.r_[f, s])) for o, f, s in zip(own, begins, sizes, strict=True)])
+    bits = int(w.max()).bit_length()
+    order = np.argsort(h.astype(np.uint64) << np.uint64(bits) | w) if bits + len(uh).bit_length() <= 64 else np.lexsort((w, h))
+    first = firsts(h[order], w[order])
+    total = np.add.reduceat(n[order].astype(np.int64), first)
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+    th, seen = h[order[first]], total > 0
+    sums, covered = np.bincount(th, total, len(uh)).astype(np.int64), np.bincount(th, np.where(seen, lower[order[first]], 0).astype(np.float64), len(uh))
+    few = np.stack([np.bincount(th[total == r], minlength=len(uh)) for r in range(1, KATZ + 1)])
+    of = np.bincount(np.minimum(total, KATZ + 2), minlength=KATZ + 3)
+    out = []
+    for c, k, o, f in zip(chunk, np.split(kind, np.cumsum(sizes)[:-1]), own, begins, strict=True):
+        asked = np.logical_or.reduceat(total[k] == 0, f)
+        out.append({
+            "chunk": c, "p": p, "count": pack(total[k].astype(np.uint32)), "sums": pack(sums[o].astype(np.uint64)), "few": pack(few[:, o].astype(np.uint32).ravel()),
+            "free": pack((1 - covered[o[asked]]).astype(np.float32)), "place": None if last else pack_steps(k.astype(np.uint32)),
+        })
+    spread = np.unique(np.concatenate(get("spread", unpack, np.uint64)))
+    mine = np.searchsorted(uh, spread)
+    out.append({"p": p, "total": [int(x) for x in of[1 : KATZ + 2]], "spread": [int(x) for h, k in zip(spread, mine, strict=True) for x in (h.astype(np.int64), sums[k], *few[:, k])], "covered": [float(covered[k]) for k in mine]})
+    return answers(out)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -302,70 +356,125 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _record(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    cells = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, kinds.values(), strict=True)], names=list(kinds))
+
+
+class Scorer:
+    """The steps of one run; see ``score``."""
+
+    def __init__(self, docs: DataFrame, order: int):
+        self.order, self.work = order, Workspace(docs.sparkSession, "lm")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        made = texts.mapInArrow(chunks, "chunk long, ids array<bigint>, lens binary, held binary, tokens binary, words binary, size long, learnt long")
+        # The joins by chunk find the chunks where they are, and move only the answers.
+        self.buckets = max(12, math.ceil(chars / 6 / CHUNK))
+        self.texts = self.work.write_bucketed(made, "chunks", "chunk", self.buckets)
+        tokens, self.begins = (x or 0 for x in self.texts.agg(F.sum("size"), F.sum("learnt")).first())
+        self.parts = max(12, math.ceil(tokens / SHARE))
+        self.limit = max(SHARE // 2, tokens // SPREAD, 1)
+        self.told: list[DataFrame] = []
+        self.words: Words | None = None
+        self.models: list[Grams] = []
+
+    def reached(self, upto: int) -> Callable[[dict], Chunk]:
+        """A function that brings a joined row to the n-grams of an order; the last answers are for those of the order before."""
+        parts, words, begins, models, limit, last = self.parts, self.words, self.begins, self.models, self.limit, self.order
+
+        def bring(r: dict) -> Chunk:
+            c = Chunk(r, parts)
+            got: dict[int, dict[int, dict]] = {}
+            for g in r["got"]:
+                got.setdefault(g["nth"], {})[g["p"]] = g
+            c.learn_words(got[1], words, begins)
+            for k in range(2, upto + 1):
+                c.grams(k, limit)
+                if k in got:
+                    c.learn(got[k], models[k - 2], k == last)
+            return c
+
+        return bring
+
+    def joined(self) -> DataFrame:
+        """Each chunk with all answers so far."""
+        cells = ["p", "place", "count", "sums", "few", "free"]
+        sent = [t.filter("chunk IS NOT NULL").select("chunk", F.struct(F.lit(k).alias("nth"), *cells).alias("g")) for k, t in enumerate(self.told, 1)]
+        everything = sent[0]
+        for x in sent[1:]:
+            everything = everything.union(x)
+        back = everything.repartition(self.buckets, "chunk").groupBy("chunk").agg(F.collect_list("g").alias("got"))
+        return self.texts.join(back, "chunk")
+
+    def sums(self, told: DataFrame) -> list[int]:
+        size = KATZ + 3 if len(self.told) == 1 else KATZ + 1
+        return [x or 0 for x in told.filter("chunk IS NULL").select(*(F.sum(F.col("total")[k]).alias(f"s{k}") for k in range(size))).first()]
+
+    def count_words(self) -> None:
+        parts = self.parts
+        kinds = {"p": pa.int32(), "chunk": pa.int64(), "word": pa.binary(), "n": pa.binary()}
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in _rows(batches):
+                yield _record(kinds, [(p, r["chunk"], pack(w), pack(n)) for p, w, n in Chunk(r, parts).words()])
+
+        sent = self.texts.mapInArrow(send, "p int, chunk long, word binary, n binary")
+        self.told.append(self.work.write(sent.groupBy("p").applyInArrow(count_words, ANSWER_ROWS), "grams-1"))
+        sums = self.sums(self.told[-1])
+        self.words = Words(sums[0], sums[1], sums[2:])
+
+    def count(self, order: int) -> None:
+        """The n-grams of one order above the first."""
+        bring, last = self.reached(order), order == self.order
+        kinds = {"p": pa.int32(), "chunk": pa.int64(), "h": pa.binary(), "word": pa.binary(), "n": pa.binary(), "lower": pa.binary(), "spread": pa.binary()}
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in _rows(batches):
+                c = bring(r)
+                for p, k in spans(c.part):
+                    yield _record(kinds, [(p, r["chunk"], pack_steps(c.h[k]), pack(c.word[k]), pack(c.n[k]), pack(c.lower[k]), pack(np.unique(c.h[k][c.spread[k]])))])
+
+        sent = self.joined().mapInArrow(send, "p int, chunk long, h binary, word binary, n binary, lower binary, spread binary")
+        told = self.work.write(sent.groupBy("p").applyInArrow(lambda group: count_grams(group, last), ANSWER_ROWS), f"grams-{order}")
+        self.told.append(told)
+        whole: dict[int, tuple[np.ndarray, float]] = {}
+        for r in told.filter("chunk IS NULL AND size(spread) > 0").select("spread", "covered").collect():  # at most SPREAD histories, and their pieces
+            for k, covered in enumerate(r["covered"]):
+                h, *x = r["spread"][k * (KATZ + 2) : (k + 1) * (KATZ + 2)]
+                old = whole.get(h % (1 << 64), (np.zeros(KATZ + 1, np.int64), 0.0))
+                whole[h % (1 << 64)] = (old[0] + np.array(x, np.int64), old[1] + covered)
+        self.models.append(Grams(self.sums(told), whole))
+
+    def finish(self) -> DataFrame:
+        bring, total = self.reached(self.order), self.words.total
+        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+        def score_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in _rows(batches):
+                c = bring(r)
+                cells = (r["ids"], c.held == 1, c.lens, c.known, np.full(len(c.lens), total, np.int64), c.base, c.scores())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, kinds.values(), strict=True)], names=list(kinds))
+
+        return self.joined().mapInArrow(score_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
-    ``base_score`` and ``score``.
+    ``base_score`` and ``score``, by n-grams of up to ``order`` tokens.
 
     Learns from the texts whose crc32(doc_id as text) mod 10 is not 0. Null and empty texts are one end token; rows with a
-    null id are held out; repeated rows count and score as often as they are there; an empty table gives no rows; other
-    columns are not read. Without any text to learn from, every token is the unknown word, with probability 1.
+    null id are held out; repeated rows count and score as often as they are there; ties change nothing; a text longer than
+    a chunk is a chunk of its own; an empty table gives no rows; other columns are not read. Without any text to learn
+    from, every token is the unknown word, with probability 1.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "lm")
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunks, "chunk long, ids array<bigint>, lens binary, held binary, tokens binary, words binary, size long")
-    texts = work.write(made, "chunks")
-    tokens = texts.agg(F.sum("size")).first()[0] or 0
-    parts = max(12, math.ceil(tokens / SHARE))
-
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            c = Chunk(r, parts)
-            n = np.bincount(c.tokens, c.learnt, len(c.words)).astype(np.uint32)
-            cells = [(p, r["chunk"], pack(c.words[k]), pack(n[k])) for p, k in c.spans()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["p", "chunk", "words", "n"])
-
-    word_rows = work.write(texts.mapInArrow(send_words, "p int, chunk long, words binary, n binary").groupBy("p").applyInArrow(count_words, WORD_ROWS), "words")
-    sums = word_rows.filter("chunk IS NULL").select(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(KATZ + 3))).first()
-    sums = [x or 0 for x in sums]
-    words = Words(sums[0], sums[1], sums[2:])
-    hottest = word_rows.filter("chunk IS NULL").select("hot").filter(F.size("hot") > 0).collect()  # at most HOT words a partition
-    pairs_of = [(r["hot"][k], r["hot"][k + 1]) for r in hottest for k in range(0, len(r["hot"]), 2)]
-    hot = np.array(sorted(w for w, c in pairs_of if c * HOT > sums[0]), np.uint64)
-    back = lambda rows, *cols: rows.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("p", *cols)).alias("got"))
-    told = texts.join(back(word_rows, "rank", "count"), "chunk")
-
-    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            c = Chunk(r, parts)
-            c.learn_words(r["got"])
-            c.pairs(parts, hot)
-            for p, k in c.pair_spans():
-                cells = (p, r["chunk"], pack(c.h[k]), pack(c.w[k]), pack(c.n[k]), pack(c.cw[k].astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["p", "chunk", "h", "w", "n", "cw"])
-
-    sent = told.mapInArrow(send_pairs, "p int, chunk long, h binary, w binary, n binary, cw binary")
-    pair_rows = work.write(sent.groupBy("p").applyInArrow(pair_counter(words, hot), PAIR_ROWS), "pairs")
-    n = [x or 0 for x in pair_rows.filter("chunk IS NULL").select(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(KATZ + 1))).first()]
-    whole: dict[int, tuple[np.ndarray, float]] = {}
-    for r in pair_rows.filter("chunk IS NULL").select("hot", "hot_covered").filter(F.size("hot_covered") > 0).collect():  # HOT histories, SPREAD parts each
-        for k, cover in enumerate(r["hot_covered"]):
-            h, *x = r["hot"][k * (KATZ + 2) : (k + 1) * (KATZ + 2)]
-            old = whole.get(h, (np.zeros(KATZ + 1, np.int64), 0.0))
-            whole[h] = (old[0] + np.array(x, np.int64), old[1] + cover)
-    model = Model(words, n, whole)
-    asked = told.join(back(pair_rows, "count", "history", "few", "covered").withColumnRenamed("got", "pair_got"), "chunk")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            c = Chunk(r, parts)
-            c.learn_words(r["got"])
-            c.pairs(parts, hot)
-            known, base, own = model.scores(c, r["pair_got"])
-            cells = [pa.array(r["ids"], pa.int64()), pa.array(c.held == 1), pa.array(c.lens), pa.array(known), pa.array(np.full(len(known), words.total, np.int64)), pa.array(base), pa.array(own)]
-            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return asked.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    run = Scorer(docs, order)
+    run.count_words()
+    for k in range(2, order + 1):
+        run.count(k)
+    return run.finish()
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` over all documents, with n-grams of up to three tokens."""
     return score(table(spark, sf_dir, "documents"))

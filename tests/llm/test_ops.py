@@ -281,58 +281,78 @@ def test_many_ranges(spark, monkeypatch, docs):
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
-def plain_katz(rows):
-    """The same model with dictionaries."""
+def plain_katz(rows, order):
+    """The same model with dictionaries: words, n-grams by order, probability of a word after a history, tokens, and what is held out."""
     tokens = {k: [*(x or "").encode().lower().split(), b""] for k, x in rows}
     held = {k: lm.crc32(str(k).encode()) % 10 == 0 for k in tokens}
-    one, two = Counter(), Counter()
+    grams = [Counter() for _ in range(order + 1)]
     for k, t in tokens.items():
         if not held[k]:
-            one.update(t)
-            two.update(zip([None, *t], t, strict=False))
+            grams[1].update((w,) for w in t)
+            for n in range(2, order + 1):
+                grams[n].update(zip(*([None, *t][j:] for j in range(n)), strict=False))
     of = lambda c: [sum(v == r for v in c.values()) for r in range(1, lm.KATZ + 2)]
-    words = lm.Words(sum(one.values()), len(one), of(one))
-    d = lm.discounts(of(two))
+    words = lm.Words(sum(grams[1].values()), len(grams[1]), of(grams[1]))
+    d = [lm.discounts(of(c)) for c in grams]
     after = {}
-    for (h, w), c in two.items():
-        after.setdefault(h, {})[w] = c
-    single = lambda w: float(words.probability(np.array([one[w]]))[0])
+    for c in grams[2:]:
+        for g, n in c.items():
+            after.setdefault(g[:-1], {})[g[-1]] = n
+    known = {}
 
     def p(w, h):
-        seen = after.get(h)
-        if not seen:
-            return single(w)
-        total = sum(seen.values())
-        disc = {x: (c * d[c] if c <= lm.KATZ else c) / total for x, c in seen.items()}
-        left, free = 1 - sum(disc.values()), 1 - sum(single(x) for x in seen)
-        kept = max(left, 1 / (total + 1)) if free > 1e-12 else 0.0
-        if w in seen:
-            return disc[w] * (1 - kept) / (1 - left)
-        return kept / free * single(w)
-
-    return words, one, two, p, tokens, held
-
-
-def test_katz_as_dictionaries(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm, "SHARE", 3000)
+        if (w, h) not in known:
+            seen = after.get(h, {})
+            if not h:
+                known[w, h] = float(words.probability(np.array([grams[1][(w,)]]))[0])
+            elif not seen:
+                known[w, h] = p(w, h[1:])
+            else:
+                total, low = sum(seen.values()), d[len(h) + 1]
+                disc = {x: (c * low[c] if c <= lm.KATZ else c) / total for x, c in seen.items()}
+                left, free = 1 - sum(disc.values()), 1 - sum(p(x, h[1:]) for x in seen)
+                kept = max(left, 1 / (total + 1))
+                known[w, h] = disc[w] * (1 - kept) / (1 - left) if w in seen else kept / free * p(w, h[1:])
+        return known[w, h]
+
+    return words, grams, p, tokens, held
+
+
+def history(t, k, order):
+    """What stands before the k-th token of a text, as far as an order looks."""
+    return tuple([None, *t][max(0, k + 2 - order) : k + 1]) if order > 1 else ()
+
+
+@pytest.mark.parametrize(("order", "share"), [(1, 3000), (2, 3000), (3, 3000), (3, 200), (4, 3000)])
+def test_katz_as_dictionaries(spark, docs, monkeypatch, order, share):
+    monkeypatch.setattr(lm, "SHARE", share)
+    monkeypatch.setattr(lm, "SPREAD", 10**6)
+    monkeypatch.setattr(lm, "CHUNK", 4000)
     rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(1000, None), (1001, ""), (1002, "zzz never the seen")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("chunk", F.lit(1)).withColumn("p", F.lit(2))
-    words, one, _, p, tokens, held = plain_katz(rows)
-    got = lm.score(df).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumn("chunk", F.lit(1)).withColumn("p", F.lit(2))
+    words, grams, p, tokens, held = plain_katz(rows, order)
+    run = lm.Scorer(df, order)
+    run.count_words()
+    for k in range(2, order + 1):
+        run.count(k)
+    assert share > 200 or all(m.spread for m in run.models)
+    got = run.finish().collect()
     assert len(got) == len(rows)
     for r in got:
         t = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(one[w] > 0 for w in t), words.total)
-        base = sum(math.log10((one[w] + 0.1) / (words.total + 0.1 * (len(one) + 1))) for w in t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(grams[1][(w,)] > 0 for w in t), words.total)
+        base = sum(math.log10((grams[1][(w,)] + 0.1) / (words.total + 0.1 * (len(grams[1]) + 1))) for w in t)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(w, h)) for h, w in zip([None, *t], t, strict=False)), rel_tol=1e-6), r.doc_id
+        assert math.isclose(r.score, sum(math.log10(p(w, history(t, k, order))) for k, w in enumerate(t)), rel_tol=1e-6), r.doc_id
 
 
 def test_katz_adds_up_to_one(docs):
     rows = [(r.doc_id, r.text) for r in docs.limit(25).collect()]
-    words, one, two, p, _, _ = plain_katz(rows)
-    for h in [None, b"", *list({h for h, _ in two})[:40], b"never"]:
-        assert math.isclose(sum(p(w, h) for w in one) + p(b"\x00unknown", h), 1.0, rel_tol=1e-9)
+    _, grams, p, _, _ = plain_katz(rows, 3)
+    histories = [(), (None,), (b"",), (b"never",), (b"never", b""), *sorted({g[:-1] for c in grams[2:] for g in c if None not in g})[::97]]
+    assert len(histories) > 20
+    for h in histories:
+        assert math.isclose(sum(p(w, h) for (w,) in grams[1]) + p(b"\x00unknown", h), 1.0, rel_tol=1e-9)
 
 
 def test_lm_beats_the_base_and_takes_odd_rows(spark, docs, odd):
@@ -346,14 +366,16 @@ def test_lm_beats_the_base_and_takes_odd_rows(spark, docs, odd):
 def test_good_turing_runs_on_the_tables(spark):
     for sf in ("sf0.01", "sf0.1"):
         number = {b"": 0}
-        one, two = [], []
+        kinds = ([], [], [])
         for r in table(spark, f"/root/testdata/{sf}", "documents").select("doc_id", "text").collect():
             if lm.crc32(str(r.doc_id).encode()) % 10:
                 own = np.array([*(number.setdefault(w, len(number)) for w in r.text.encode().lower().split()), 0])
-                one.append(own)
-                two.append(np.r_[0, own[:-1] + 1] << 32 | own)
-        for kinds in (one, two):
-            n = [int((np.unique(np.concatenate(kinds), return_counts=True)[1] == r).sum()) for r in range(1, lm.KATZ + 2)]
+                before = np.r_[0, own[:-1] + 1]
+                for k, x in enumerate((own, before << 21 | own, (before[:-1] << 42) + (before[1:] << 21) + own[1:])):
+                    kinds[k].append(x)
+        assert len(number) < 1 << 21
+        for x in kinds:
+            n = [int((np.unique(np.concatenate(x), return_counts=True)[1] == r).sum()) for r in range(1, lm.KATZ + 2)]
             slope = np.polyfit(np.log(range(1, lm.KATZ + 2)), np.log(n), 1, w=np.sqrt(n))[0]
             smooth = [r**slope for r in range(1, lm.KATZ + 2)]
             common = (lm.KATZ + 1) * smooth[-1] / smooth[0]
