@@ -159,6 +159,52 @@ def test_html_drops_what_surrounds_the_article(spark):
     assert html.extract_main_text(empty(spark, df)).count() == 0
 
 
+def alone(source):
+    return html.main_text(html.parse(source), [], {})
+
+
+LONG = "words and more words " * 10
+
+
+def test_html_deletes_nothing_for_a_name_alone():
+    for wrapper in ("page right-sidebar", "header-fixed", "comments-enabled menu"):
+        assert alone(f'<div class="{wrapper}"><h1>T</h1><p>{LONG}</div>') == f"T\n{LONG.strip()}"
+        assert alone(f'<body><nav>n</nav><div class="{wrapper}"><nav>m</nav><div><h1>T</h1><p>{LONG}</div><div class="sidebar">aside</div></div>') == f"T\n{LONG.strip()}"
+    assert alone(f"<article><h1>Title</h1><div class=body><p>{LONG}</div></article>") == f"Title\n{LONG.strip()}"
+    parts = f"<h1>T</h1><p>intro<section class=a><p>{LONG * 4}</section><section class=b><p>short b</section>"
+    for around in ("article", "div"):
+        assert alone(f"<body><nav>n</nav><div><{around}>{parts}</{around}></div>") == f"T\nintro\n{(LONG * 4).strip()}\nshort b"
+    assert alone(f'<article><p>{LONG}<section class="related-work"><h2>Related work</h2><p>{LONG}</section><div class=related><a href=x>{LONG}</a></div></article>') == f"{LONG.strip()}\nRelated work\n{LONG.strip()}"
+    assert alone(f"<article><header class=article-header><h1>T</h1></header><p>{LONG}</article><header><h1>Site</h1></header>") == f"T\n{LONG.strip()}"
+    assert alone(f"<form id=all><div><h1>T</h1><p>{LONG}</div><footer>f</footer></form>") == f"T\n{LONG.strip()}"
+
+
+def test_html_drops_whole_pages_without_an_article():
+    assert alone(f'<nav><a>{LONG}</a></nav><article></article><div class="ad">{LONG}</div><footer>{LONG}</footer>') == ""
+    assert alone(f"<article><p>short</article><div id=comments><p>{LONG * 9}</div>") == "short"
+
+
+def test_html_votes_change_the_text(spark):
+    """On most pages of the host the story is long and a box beside it short; one page has it the other way round."""
+    page = "<body><div class=box-{n}><p>{box}</div><div class=story><p>{story}</div>"
+    pages = [(n, "http://h.org/x", page.format(n=n, box="box text", story=f"story {n} {LONG * 3}")) for n in range(8)] + [(8, "http://h.org/y", page.format(n=8, box=LONG * 3, story=f"story eight {LONG}"))]
+    odd = f"<body><div class=ad><h1>T</h1><p>{LONG}</div><div class=story><p>story</div>"
+    pages += [(9, "http://h.org/z", odd), (10, "http://other.org/z", odd), *((n, "http://h.org/w", f"<div class=ad><p>buy</div><div class=story><p>story {LONG * 2}</div>") for n in range(11, 20))]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert alone(pages[8][2]) == (LONG * 3).strip() and got[8] == f"story eight {LONG.strip()}"
+    assert got[10] == alone(odd) == f"T\n{LONG.strip()}" and got[9] == "story"
+    assert all(got[n] == f"story {n} {(LONG * 3).strip()}" for n in range(8))
+
+
+def test_html_depth_takes_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert alone("<div class=x>" * 100_000 + "deep") == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 def least_edits(item, text):
     row = list(range(len(item) + 1))
