@@ -501,14 +501,37 @@ def longest_match_phrases(text, reference):
     return n
 
 
-def test_cross_parsing_as_substring_search():
+@pytest.mark.parametrize("dense", [63, 3, 1])
+def test_cross_parsing_as_substring_search(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
     rng = random.Random(6)
-    samples = {x: "".join(rng.choice(a) for _ in range(300)) for x, a in (("p", "abc"), ("q", "abcd "))}
+    samples = {x: "".join(rng.choice(a) for _ in range(300)) for x, a in (("p", "abc"), ("q", "abcd "), ("r", "klmnopqrstuvw"))}
     m = langid.Model(samples)
-    texts = ["".join(rng.choice("abcdz ") for _ in range(n)) for n in (0, 1, 5, 50, 900)]
-    got = langid.phrases(m.tables, [m.encode(t) for t in texts])
-    plain = lambda t: "".join(ch if ch in m.codes else "\x00" for ch in t)
-    assert got.tolist() == [[longest_match_phrases(plain(t), samples[x]) for x in m.langs] for t in texts]
+    texts = ["".join(rng.choice("abcdzkmw ") for _ in range(n)) for n in (0, 1, 5, 50, 900)]
+    got = langid.phrases(m.parsers, [m.encode(t) for t in texts])
+    assert got.tolist() == [[longest_match_phrases(t, samples[x]) for x in m.langs] for t in texts]
+
+
+def test_languages_of_many_letters():
+    """Two languages of some 1,400 characters each, half of them in common, beside three alphabets."""
+
+    def language(letters, seed):
+        rng = random.Random(seed)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+        return lambda n: " ".join(words[int(3000 * rng.random() ** 3)] for _ in range(n))
+
+    signs = [chr(x) for x in range(0x4E00, 0x4E00 + 2100)]
+    say = {"a": language(signs[:1400], 1), "b": language(signs[700:], 2), "c": language("abcdefghijklmnopqrstuvwxyz", 3), "d": language([chr(x) for x in range(0x430, 0x450)], 4), "e": language([chr(x) for x in range(0x3B1, 0x3CA)], 5)}
+    m = langid.Model({k: f(15000)[:40000] for k, f in say.items()})
+    assert max(p.width for p in m.parsers) == langid.DENSE + 1 and sum(len(p.edges) > 0 for p in m.parsers) == 2
+    for k, f in say.items():
+        assert np.mean([x == k for x in m.predict([f(25) for _ in range(100)])[0]]) >= 0.97
+
+
+def test_a_very_long_labelled_text_teaches_a_stretch(spark):
+    df = spark.createDataFrame([("en", "x"), ("en", None), ("de", "kurz")], "lang string, text string").withColumn("text", F.when(F.col("text") == "x", F.repeat(F.lit("one two three four five "), 210_000)).otherwise(F.col("text")))
+    m = langid.learn(df, chars=5000)
+    assert m.langs == ["de", "en"] and m.bits[1] <= math.log2(5001) and m.predict(["two three four"])[0] == ["en"]
 
 
 def test_copies_of_one_text_teach_once(spark):
@@ -516,7 +539,7 @@ def test_copies_of_one_text_teach_once(spark):
     df = spark.createDataFrame(rows, "lang string, text string")
     once = langid.learn(df.distinct(), rows=10**6)
     m = langid.learn(df, rows=10**6)
-    assert m.langs == ["de", "en"] and m.bits.tolist() == once.bits.tolist() and all((a == b).all() for a, b in zip(m.tables, once.tables, strict=True))
+    assert m.langs == ["de", "en"] and m.bits.tolist() == once.bits.tolist() and all((a.table == b.table).all() for a, b in zip(m.parsers, once.parsers, strict=True))
 
 
 def test_copies_do_not_use_up_the_draw(spark, monkeypatch):
