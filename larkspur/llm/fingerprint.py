@@ -1,8 +1,10 @@
-"""Document fingerprints of closed syncmers, with DataFrame functions only."""
+"""Document fingerprints of closed syncmers with their places, with DataFrame functions only."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,79 +19,108 @@ CONSONANT = f"[{LETTER}&&[^{VOWEL}]]"
 #: again soon after an edit, without spaces too.
 UNIT = rf"{CONSONANT}{{0,3}}{VOWEL}{{1,3}}(?:{CONSONANT}{{1,3}}(?!{LETTER}))?|{CONSONANT}{{1,4}}|[^\x20\x09-\x0D]"
 #: Units in a k-mer and in its inner s-mers. Of K - S + 1 inner s-mers the least must be the first or the last.
-K, S = 8, 3
-LAST = K - S
-#: Copies of the first and of the last unit before and after a fingerprinted text, so that its first k-mer holds one unit.
-ENDS = K - 1
+K, S = 5, 2
+#: Anchors that a fingerprint keeps: those with the least hashes. Texts of fewer than SHORT units have their s-mers as anchors
+#: too, of fewer than TINY their units.
+KEPT, SHORT, TINY = 40, 24, 8
+#: Units by which places of shared anchors may differ from one offset and count as in step.
+STEP = 24
 #: Rows that one range of ids should hold, and the most ranges.
 RANGE_ROWS, RANGES, CHUNK = 2000, 16384, 128
 
 
-def anchors(rows: DataFrame, text: str, to: str, ends: int = 0) -> DataFrame:
-    """``rows`` with ``to``: distinct hashes of the closed syncmers of the units of column ``text``, in order of place.
+def anchors(rows: DataFrame, text: str, to: str) -> DataFrame:
+    """``rows`` with ``to``, a struct of ``hashes`` (32 bits, rising) and their ``places``: closed syncmers of the units of column ``text``.
 
-    A k-mer is chosen by its own units alone, so an edit changes only the anchors that overlap it. Texts are lower-cased,
-    and white space only ends units. The first and last unit are repeated ``ends`` times; with ENDS, the k-mers of the first
-    unit and of the last are always chosen, so any text of unlike units has several anchors. Without, a text that has no
-    syncmer has one anchor, of all its units. Null, empty and blank texts have none.
+    A k-mer is chosen by its own units alone, so an edit changes only the anchors that overlap it. Of all distinct anchors
+    the KEPT least ones stay, each with the number of the unit at which it first begins; so a long text's fingerprint is no
+    longer than a page's, and repeats count once. Texts are lower-cased, and white space only ends units. Any text with
+    a unit has an anchor; null, empty and blank texts have none.
     """
-    h, s, n = f"_{to}_h", f"_{to}_s", f"_{to}_n"
+    u, s, c, n, h = (f"_{to}_{x}" for x in "uscnh")
     # Each step reads the one before more than once, so the optimiser keeps them apart and each is computed once a row.
-    rows = rows.withColumn(h, F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u)))
-    if ends:
-        more = lambda i: F.array_repeat(F.get(F.col(h), i), ends)
-        rows = rows.withColumn(h, F.when(F.size(h) > 0, F.concat(more(F.lit(0)), F.col(h), more(F.size(h) - 1))).otherwise(F.col(h)))
-    rows = rows.withColumn(n, F.size(h))
-    rows = rows.withColumn(s, F.transform(F.col(h), lambda x, i: F.xxhash64(x, *(F.get(F.col(h), i + k) for k in range(1, S)))))
+    rows = rows.withColumn(u, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0)))
+    rows = rows.withColumn(s, F.transform(F.col(u), lambda x, i: F.xxhash64(x, *(F.get(F.col(u), i + k) for k in range(1, S))))).withColumn(n, F.size(u))
     at = lambda i, k: F.get(F.col(s), i + k)
+    short = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
 
     def choose(x: Column, i: Column) -> Column:
-        inner = [x, *(at(i, k) for k in range(1, LAST + 1))]
+        inner = [x, *(at(i, k) for k in range(1, K - S + 1))]
         chosen = (i <= F.col(n) - K) & (F.least(*inner) == F.least(x, inner[-1]))
-        return F.when(chosen, F.xxhash64(x, at(i, LAST // 2 + 1), inner[-1]))
+        return F.when(chosen, short(F.xxhash64(*inner[::S], *([inner[-1]] if (K - S) % S else []))))
 
-    rows = rows.withColumn(to, F.array_distinct(F.array_compact(F.transform(F.col(s), choose))))
-    whole = F.when(F.col(n) > 0, F.array(F.xxhash64(F.col(h)))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn(to, F.when(F.size(to) > 0, F.col(to)).otherwise(whole)).drop(h, s, n)
+    def pairs(x: Column, i: Column) -> Column:
+        return F.when((i == 0) | (i <= F.col(n) - S), short(x))
+
+    syncmers = F.transform(F.col(s), choose)
+    mers = F.transform(F.col(s), pairs)
+    units = F.transform(F.col(u), lambda x: short(F.xxhash64(x)))
+    rows = rows.withColumn(c, F.when(F.col(n) < TINY, F.concat(units, mers, syncmers)).when(F.col(n) < SHORT, F.concat(mers, syncmers)).otherwise(syncmers))
+    rows = rows.withColumn(h, F.slice(F.sort_array(F.array_distinct(F.array_compact(F.col(c)))), 1, KEPT))
+    # A short text's syncmers stand after its units and s-mers, as many places each.
+    place = lambda x: F.pmod(F.array_position(F.col(c), x) - 1, F.greatest(F.col(n), F.lit(1)))
+    return rows.withColumn(to, F.struct(F.col(h).alias("hashes"), F.transform(F.col(h), place).alias("places"))).drop(u, s, c, n, h)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors, twice, over those of both, wherever they are; two empty fingerprints are alike, an empty one is like no other."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+    """Shared anchors that lie at one offset, give or take STEP units, twice, over those of both.
+
+    The offset is that of most shared anchors, so a passage that stands elsewhere in one text counts with those that moved
+    alike. Where one fingerprint was cut, both count up to the lower of their highest hashes only, as the other's
+    anchors above it are not known. Two empty fingerprints are alike, an empty one is like no other.
+    """
+    last = lambda x: F.when(F.size(x["hashes"]) == KEPT, F.element_at(x["hashes"], -1))
+    limit = F.coalesce(F.least(last(a), last(b)), F.lit(1 << 32))
+    count = lambda x: F.size(F.filter(x["hashes"], lambda h: h <= limit))
+    moved = F.transform(a["hashes"], lambda h, i: F.get(b["places"], (F.array_position(b["hashes"], h) - 1).cast("int")) - F.get(a["places"], i))
+    moved = F.filter(F.array_compact(moved), lambda x: x.isNotNull())
+    best = F.array_max(F.transform(F.array_distinct(moved), lambda x: F.size(F.filter(moved, lambda y: F.abs(y - x) <= STEP))))
+    total = count(a) + count(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.coalesce(best, F.lit(0)) / total)
 
 
 def spelled(a: Column) -> Column:
-    """A fingerprint as a string: hexadecimal hashes between spaces."""
-    return F.array_join(F.transform(a, lambda x: F.lower(F.hex(x))), " ")
+    """A fingerprint as a string: hashes and places, both hexadecimal, as hash.place between spaces."""
+    return F.array_join(F.transform(a["hashes"], lambda x, i: F.concat(F.lower(F.hex(x)), F.lit("."), F.lower(F.hex(F.get(a["places"], i))))), " ")
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) dealt into ranges of ids: ``part``, ``extra`` and ``key``.
+    """``docs`` (doc_id, text) dealt into ranges of ids: ``part``, ``extra``, ``key`` and ``tie``.
 
-    Bounds are approximate quantiles of the ids, so that ranges have about RANGE_ROWS rows however the ids lie. Each range
-    also gets the first rows of the next one as ``extra`` rows, and the last one those of the first, so that what
-    follows a row is in its own range, and no step puts all rows in one order.
+    Rows follow by id and, where ids are equal, by a hash of the text. Bounds are approximate quantiles of the ids, so that
+    ranges have about RANGE_ROWS rows however the ids lie; an id that fills several ranges, as null does where many ids
+    are null, is dealt to them by the hash. Each range also gets the first rows of the next one as ``extra`` rows, and the
+    last one those of the first, so that what follows a row is in its own range, and no step puts all rows in one order.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")).withColumn("tie", F.xxhash64("text"))
     count = rows.count()
     n = min(RANGES, max(1, math.ceil(count / RANGE_ROWS)))
     shares = [k / n for k in range(1, n)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("key", shares, 10 * n).alias("b")).first()["b"] or [])) if shares else []
+    found = sorted(rows.agg(F.percentile_approx("key", shares, 10 * n).alias("b")).first()["b"] or []) if shares else []
+    times = Counter(found)
+    # An id that is several bounds fills as many ranges; those of the k-th bound begin at begins[k], after range 0 of the rows below all.
+    bounds, many = sorted(times), [times[b] for b in sorted(times)]
+    begins = [1, *(1 + x for x in accumulate(many[:-1]))]
     if bounds:
-        chunks = [bounds[k : k + CHUNK] for k in range(0, len(bounds), CHUNK)]
-        nested = F.array(*(F.array(*(F.lit(b).cast("long") for b in c)) for c in chunks))
+        nested = lambda values, kind: F.array(*(F.array(*(F.lit(v).cast(kind) for v in values[k : k + CHUNK])) for k in range(0, len(values), CHUNK)))
         below = lambda a: F.size(F.filter(a, lambda b: b <= F.col("key")))
-        rows = rows.withColumn("chunk", below(F.array(*(F.lit(c[0]).cast("long") for c in chunks))))
-        rows = rows.withColumn("part", F.when(F.col("chunk") == 0, F.lit(0)).otherwise((F.col("chunk") - 1) * CHUNK + below(F.get(nested, F.col("chunk") - 1)))).drop("chunk")
+        rows = rows.withColumn("chunk", below(F.array(*(F.lit(bounds[k]).cast("long") for k in range(0, len(bounds), CHUNK)))) - 1)
+        rows = rows.withColumn("place", F.when(F.col("chunk") >= 0, below(F.get(nested(bounds, "long"), F.col("chunk"))) - 1))
+        of = lambda values, kind: F.get(F.get(nested(values, kind), F.col("chunk")), F.col("place"))
+        part = of(begins, "int")
+        if max(many) > 1:
+            m = of(many, "int")
+            share = F.least(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * m).cast("int"), m - 1)
+            part = part + F.when(of(bounds, "long") == F.col("key"), share).otherwise(m - 1)
+        rows = rows.withColumn("part", F.coalesce(part, F.lit(0)).cast("int")).drop("chunk", "place")
     else:
         rows = rows.withColumn("part", F.lit(0))
-    firsts = sorted((r["part"], r["key"]) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())  # a row for each range
-    moved = [(key, firsts[k - 1][0]) for k, (_, key) in enumerate(firsts)]
-    ahead = F.broadcast(spark.createDataFrame(moved, "key long, to int"))
-    again = rows.join(ahead, "key").select("doc_id", "text", "key", F.col("to").alias("part"), F.lit(True).alias("extra"))
-    return rows.select("doc_id", "text", "key", F.col("part").cast("int").alias("part"), F.lit(False).alias("extra")).union(again)
+    firsts = sorted((r["part"], r["low"]["key"], r["low"]["tie"]) for r in rows.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("low")).collect())  # a row for each range
+    moved = [(key, tie, firsts[k - 1][0]) for k, (_, key, tie) in enumerate(firsts)]
+    ahead = F.broadcast(spark.createDataFrame(moved, "key long, tie long, to int"))
+    again = rows.join(ahead, ["key", "tie"]).select("doc_id", "text", "key", "tie", F.col("to").alias("part"), F.lit(True).alias("extra")).dropDuplicates(["key", "tie"])
+    return rows.select("doc_id", "text", "key", "tie", "part", F.lit(False).alias("extra")).union(again)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,24 +128,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ``edited_fingerprint``, ``near_edited`` and ``near_next``.
 
     The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as many, or all, of the
-    next document's; documents follow by ascending id (null ids first, ties by text), and the first follows the last,
-    so that a single row follows itself. Null texts count as empty, an empty table gives no rows, other columns are not read.
-    The texts are shuffled once, by ranges of ids.
+    next document's; documents follow by ascending id (null ids first, ties by a hash of the text), and the first follows
+    the last, so that a single row follows itself. Null texts count as empty, very long ones are read whole, equal rows get equal
+    fingerprints, an empty table gives no rows, other columns are not read. The texts are shuffled once, by ranges of ids.
     """
-    follows = Window.partitionBy("part").orderBy("extra", "key", "text")
+    follows = Window.partitionBy("part").orderBy("extra", "key", "tie")
     rows = with_ranges(docs).withColumn("next", F.lead("text").over(follows))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
-    rows = anchors(anchors(rows, "text", "own", ENDS), "edited", "changed", ENDS)
-    rows = rows.select("part", "extra", "key", F.xxhash64("text").alias("tie"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", "text")
-    rows = rows.withColumn("ahead", F.lead("own").over(follows)).filter(~F.col("extra"))
+    rows = anchors(anchors(rows, "text", "own"), "edited", "changed")
+    rows = rows.select("part", "extra", "key", "tie", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed")
+    none = F.struct(F.array().cast("array<bigint>").alias("hashes"), F.array().cast("array<bigint>").alias("places"))
+    rows = rows.withColumn("ahead", F.coalesce(F.lead("own").over(follows), none)).filter(~F.col("extra"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", spelled(F.col("own")).alias("fingerprint"), spelled(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.coalesce("ahead", F.array().cast("array<bigint>"))).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("ahead")).alias("near_next"),
     )
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fingerprints`` of all documents."""
     return fingerprints(table(spark, sf_dir, "documents"))
