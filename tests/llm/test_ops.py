@@ -506,6 +506,71 @@ def test_windows_cover_every_token():
         assert own[0][0] == 0 and own[-1][0] + own[-1][1] == n and all(b[0] == a[0] + toxicity.STRIDE for a, b in zip(own, own[1:], strict=False))
 
 
+def plain_vector(word):
+    """A word's index vector, one number at a time."""
+    out = np.zeros(quality.DIM)
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+    shape = "".join(c for k, c in enumerate(kinds) if k == 0 or c != kinds[k - 1])
+    for feature in ("w" + word.lower(), "s" + shape, "h" + word[:2], "t" + word[-2:]):
+        h = xxhash.xxh3_64_intdigest(feature)
+        for _ in range(quality.NONZERO):
+            out[h % quality.DIM] += 1 if h >> 8 & 1 else -1
+            h >>= 12
+    return out / max(math.sqrt(out @ out), 1e-6)
+
+
+def test_word_vectors_by_definition(monkeypatch):
+    """Index vectors, context vectors and pooling, by loops over words; the same however batches fall."""
+    texts = ["The cat saw the dog", "a dog saw A CAT-42 the cat", "", "x", "the cat the cat the cat " * 3, "Zz" * 100 + "9"]
+    v = quality.Vectors(texts, least=2)
+    counts = Counter(w for t in texts for w in t.split())
+    index = {w: plain_vector(w) for w in counts}
+    assert np.allclose(quality.index_vectors(sorted(counts)), [index[w] for w in sorted(counts)], atol=1e-6)
+    context = {w: np.zeros(quality.DIM) for w in counts}
+    for t in texts:
+        ws = t.split()
+        for i, w in enumerate(ws):
+            for j in range(max(0, i - quality.REACH), min(len(ws), i + quality.REACH + 1)):
+                if i != j:
+                    context[w] += index[ws[j]]
+    common = sum(context.values()) / sum(counts.values())
+    vector = {}
+    for w, n in counts.items():
+        c = context[w] - n * common
+        vector[w] = index[w] + c / max(math.sqrt(c @ c), 1e-6) if n >= 2 else index[w]
+    assert set(v.at) == {w for w, n in counts.items() if n >= 2}
+    asked = [*texts, "unseen words the unseen", "the " * 25_000]
+    want = []
+    for t in asked:
+        ws = [vector[w] if w in vector else plain_vector(w) for w in t.split()]
+        cos = [sum(a @ b / math.sqrt((a @ a) * (b @ b)) for a, b in zip(ws, ws[d:], strict=False)) for d in (1, 2)]
+        want.append([*sum(ws, np.zeros(quality.DIM)), *sum((x * x for x in ws), np.zeros(quality.DIM)), *cos, math.log1p(len(ws)) * max(len(ws), 1)])
+        want[-1] = np.array(want[-1]) / max(len(ws), 1)
+    assert np.allclose(v.pool(asked), want, atol=2e-3)
+    monkeypatch.setattr(quality, "REMEMBERED", 1)
+    assert np.allclose([v.pool([t])[0] for t in asked], want, atol=2e-3)
+
+
+def test_temperature_and_network():
+    """The temperature is the one of the grid with the least loss on rows left out; probabilities are the network's, by loops."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 5)).astype(np.float32)
+    y = (x[:, 0] + rng.normal(size=120) > 0).astype(np.float32)
+    net = quality.Network(x, y, hidden=6, epochs=40)
+    z = np.zeros(120)
+    for k in range(4):
+        left = np.arange(120) % 4 == k
+        p = net.fit(net.scale(x)[~left], y[~left], np.ones(90, np.float32), 6, 40, 3e-3, 1e-3)
+        z[left] = net.logit(net.scale(x)[left], p)
+    losses = [(sum(math.log1p(math.exp(-(2 * b - 1) * a / t)) for a, b in zip(z, y, strict=True)), t) for t in np.geomspace(0.25, 8, 41)]
+    assert math.isclose(net.temperature, min(losses)[1])
+    w, b, o, o0 = net.p
+    for row, p in zip(x[:10], net.probability(x[:10]), strict=True):
+        s = [min(max((v - m) / d, -8), 8) * quality.GAIN for v, m, d in zip(row, net.mean, net.std, strict=True)]
+        h = [max(sum(s[i] * w[i, j] for i in range(5)) + b[j], 0) for j in range(6)]
+        assert math.isclose(p, 1 / (1 + math.exp(-(sum(h[j] * o[j] for j in range(6)) + float(o0)) / net.temperature)), rel_tol=1e-5)
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in table(spark, sf, "labels").collect()}
