@@ -35,11 +35,12 @@ def constant(value: Any) -> Typed:
 
 
 def wrap(op: str, a: Column, b: Column) -> Column:
-    """64-bit arithmetic that wraps, whatever the session's ANSI setting."""
+    """64-bit arithmetic that wraps, whatever the session's ANSI setting; only rows that overflow go through decimals."""
+    plain = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
     x, y = (c.cast("decimal(19,0)") for c in (a, b))
     raw = {"+": x + y, "-": x - y, "*": x * y}[op].cast("decimal(38,0)")
     half = F.lit(str(2**63)).cast("decimal(20,0)")
-    return (F.pmod(raw + half, F.lit(str(2**64)).cast("decimal(20,0)")) - half).cast("bigint")
+    return F.coalesce(plain, (F.pmod(raw + half, F.lit(str(2**64)).cast("decimal(20,0)")) - half).cast("bigint"))
 
 
 class Compiler:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.engine import Engine
 from larkspur.sources.bridge import EVT, POSTS, USERS, bridge
 from larkspur.sources.schema import ColumnDef, TableDef
+from larkspur.sources.store import scratch
 from larkspur.streaming.drain import drain
 
 _H = "substr(printf('%012x', {n}), 1, 8) || '-' || substr(printf('%012x', {n}), 9, 4) || '-7000-8000-000000000000'"
@@ -69,7 +69,7 @@ CASES = {
     "idx_eq": Case("users", "SELECT id, name FROM users WHERE segment = ?", ("BUILDING",), "SELECT id, name FROM users WHERE segment = 'BUILDING'"),
     "idx_intersect": Case("users", "SELECT id FROM users WHERE segment = ? AND grp = ?", ("BUILDING", 3), "SELECT id FROM users WHERE segment = 'BUILDING' AND grp = 3"),
     "idx_first": Case("users", "SELECT id, cents FROM users WHERE segment = ? ORDER BY id LIMIT 1", ("BUILDING",), "SELECT id, cents FROM users WHERE segment = 'BUILDING' ORDER BY id LIMIT 1"),
-    "comp_prefix": Case("posts", "SELECT id, day FROM posts WHERE status = ? AND day = ?", ("F", 8800), "SELECT id, day FROM posts WHERE status = 'F' AND day = 8800"),
+    "comp_prefix": Case("posts", "SELECT id, day FROM posts WHERE status = ? AND day = ?", ("F", 9143), "SELECT id, day FROM posts WHERE status = 'F' AND day = 9143"),
     "comp_walk": Case("posts", "SELECT id, day FROM posts WHERE status = ? ORDER BY day DESC LIMIT 20", ("F",), "SELECT id, day FROM posts WHERE status = 'F' ORDER BY day DESC NULLS LAST, id LIMIT 20"),
     "order_walk": Case("users", "SELECT id, cents FROM users ORDER BY cents LIMIT 15 OFFSET 4", (), "SELECT id, cents FROM users ORDER BY cents NULLS FIRST, id LIMIT 15 OFFSET 4"),
     "range_seek": Case("users", "SELECT id, cents FROM users WHERE cents >= ? AND ? > cents ORDER BY cents LIMIT 30", (10000, 500000), "SELECT id, cents FROM users WHERE cents >= 10000 AND cents < 500000 ORDER BY cents, id LIMIT 30"),
@@ -128,7 +128,7 @@ def update_scan(e: Engine) -> DataFrame:
 
 @_changed("posts")
 def update_index(e: Engine) -> DataFrame:
-    e.exec("UPDATE posts SET prio = ? WHERE status = ? AND day < ?", "late", "F", 8900)
+    e.exec("UPDATE posts SET prio = ? WHERE status = ? AND day < ?", "late", "F", 9500)
     return e.table("posts")
 
 
@@ -185,11 +185,6 @@ def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.table("cfg")
 
 
-def _place(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/larkspur-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="larkspur-")
-
-
 def _kept(spark: SparkSession, sf_dir: str, place: str) -> None:
     """A durable store with rows and changes of every kind."""
     rows = bridge(spark, sf_dir, "users").table("users")
@@ -201,13 +196,13 @@ def _kept(spark: SparkSession, sf_dir: str, place: str) -> None:
 
 
 def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _place(spark)
+    place = scratch(spark)
     _kept(spark, sf_dir, place)
     return Engine.open(spark, place).table("users")
 
 
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _place(spark)
+    place = scratch(spark)
     _kept(spark, sf_dir, place)
     with Engine.open(spark, place) as e:
         e.compact()
@@ -215,7 +210,7 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _place(spark)
+    place = scratch(spark)
     _kept(spark, sf_dir, place)
     e = Engine.open(spark, place)
     query = drain(e)
@@ -233,9 +228,10 @@ def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of the engine's own JSON, one a row."""
     e = bridge(spark, sf_dir, "posts")
-    rows = e.df("SELECT id, status, score FROM posts WHERE cents > ?", 20000000)
-    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("object"))
+    objects = json.loads(e.query_json("SELECT id, status, score FROM posts WHERE cents > ?", 20000000)[1])
+    return spark.createDataFrame([(json.dumps(x, separators=(",", ":")),) for x in objects], "object string")
 
 
 def prepared_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +242,7 @@ def prepared_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.exec("DROP TABLE posts")
     e.register(TableDef("posts", (*POSTS.columns, ColumnDef("note", "text", nullable=True)), POSTS.indexes), rows.withColumn("note", F.lit(None).cast("string")))
     assert before is not None and stmt.query_row("O")[1] is None
-    return e.df(stmt.sql, "F")
+    return spark.createDataFrame([(str(k), n) for k, n in stmt.query("F")[1]], "id string, cents long")
 
 
 def recovered_sql(more: str = "") -> str:
@@ -256,7 +252,7 @@ def recovered_sql(more: str = "") -> str:
 _NEW = f"SELECT {_TID('1000000000 + n')} AS id, 'new ' || n AS name, n * 100 + n AS cents, CASE WHEN n % 3 = 0 THEN n END AS grp FROM (SELECT CAST(range AS BIGINT) AS n FROM range(50))"
 CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "update_scan": (update_scan, sql("SELECT id, author, status, cents + CASE WHEN NOT coalesce(score < 3, false) THEN 100 ELSE 0 END AS cents, CASE WHEN NOT coalesce(score < 3, false) THEN day - cents ELSE day END AS day, prio, score FROM posts", "posts")),
-    "update_index": (update_index, sql("SELECT id, author, status, cents, day, CASE WHEN status = 'F' AND day < 8900 THEN 'late' ELSE prio END AS prio, score FROM posts", "posts")),
+    "update_index": (update_index, sql("SELECT id, author, status, cents, day, CASE WHEN status = 'F' AND day < 9500 THEN 'late' ELSE prio END AS prio, score FROM posts", "posts")),
     "update_pk": (update_pk, sql(f"SELECT id, name, nation, segment, CASE WHEN id IN ('{tid(1)}', '{tid(2)}', '{tid(3)}') THEN cents * 2 ELSE cents END AS cents, CASE WHEN id IN ('{tid(1)}', '{tid(2)}', '{tid(3)}') THEN NULL ELSE grp END AS grp FROM users", "users")),
     "delete_scan": (delete_scan, sql("SELECT * FROM posts WHERE NOT (cents > 15000000 OR score IS NULL)", "posts")),
     "delete_index": (delete_index, sql(f"SELECT * FROM users WHERE NOT (segment = 'BUILDING' AND cents < 0) AND id <> '{tid(4)}'", "users")),

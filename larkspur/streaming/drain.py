@@ -1,4 +1,4 @@
-"""Compaction driven by the log: each batch of new segments is folded into the bases, and the cursor moves with it."""
+"""Compaction driven by the log: new segments, followed by Structured Streaming, are the trigger; each folds all changes so far into the bases."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def follow(engine: Engine) -> DataFrame:
 def drain(engine: Engine, checkpoint: str | None = None, interval: str | None = None) -> StreamingQuery:
     """Starts a query that compacts once for each batch of sealed segments; without an interval it drains what there is and stops.
 
-    A batch that fails is given again, and compaction of a state already folded changes nothing, so a restart is safe.
+    The batch's rows are not read: the engine holds all that its log says, and the cursor is that of the state folded. A batch that fails is given again, and compaction of a state already folded changes nothing, so a restart is safe.
     """
     at = checkpoint or engine.store.files.at("drain-progress") if engine.store.files else checkpoint
     trigger = {"processingTime": interval} if interval else {"availableNow": True}

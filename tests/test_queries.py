@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from larkspur import queries
+from larkspur.queries_api import API
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
@@ -19,10 +20,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+QUERIES = queries.QUERIES | {name: run for name, (run, _) in API.items()}
+SQL = queries.SQL | {name: same for name, (_, same) in API.items()}
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, duck, name):
-    got = queries.QUERIES[name](spark, SF)
-    cursor = duck.execute(queries.SQL[name])
+    got = QUERIES[name](spark, SF)
+    cursor = duck.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(got.columns) == sorted(names)
     want = cursor.fetchall()
