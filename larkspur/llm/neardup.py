@@ -63,12 +63,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(texts: list[str | None], width: int) -> tuple[list, list, list]:
-    """Size of each text's shingle set, a digest of the set, and its signature; None for both where the set is empty."""
+    """Size of each text's shingle set, a digest of its words, and its signature; None for both where the set is empty.
+
+    Texts of one digest are the same words in the same order, so they have the same set; other texts of equal sets are left to
+    the search. Sizes are numbers of unlike 64-bit hashes.
+    """
     sizes, digests, signatures = [], [], []
     for text in texts:
         h = shingle_hashes(text, width)
         sizes.append(len(h))
-        digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+        digests.append(hashlib.sha256(b" ".join(words(text))).digest() if len(h) else None)
         signatures.append(signature(h).tobytes() if len(h) else None)
     return sizes, digests, signatures
 
@@ -171,7 +175,7 @@ class Finder:
         sketches = map_rows(self.docs, ["doc_id", "h"], ["text"], "n long, digest binary, sig binary", lambda texts: sketch(texts, width))
         self.sketches = self.work.write(sketches, "sketches")
         linked = self.sketches.filter("n > 0 AND doc_id IS NOT NULL")
-        # Equal sets are linked without comparing: one node stands for all of them.
+        # Texts of the same words are linked without comparing: one node stands for all of them.
         nodes = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.nodes = self.work.write(nodes.select("digest", F.col("low.doc_id").alias("node"), F.col("low.h").alias("h"), "n", "sig"), "nodes")
 
@@ -281,8 +285,13 @@ class Finder:
 
     def labels(self) -> DataFrame:
         first = self.links(self.survivors(self.star()), "star")
+        self.work.drop("weight")
+        self.work.drop("hubs")
+        self.work.drop("star-pairs")
         labels = components(first, self.work, "first")
         more = self.rest(labels)
+        for name in ("shared", "main", "members", "left", "left-nodes"):
+            self.work.drop(name)
         if more.isEmpty():
             return labels
         return components(first.union(more), self.work, "all")
@@ -296,7 +305,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     minima (a pair at 80 % shares none with a chance of 5e-8); looks at 16 more positions each prune them by the posterior
     of their similarity, and whole sets confirm the rest. A bucket's nodes are first compared with its hub only; then
     nodes outside its largest component are compared with the others, as blocks of signatures, so large groups of copies
-    don't grow into all their pairs.
+    don't grow into all their pairs. Texts of the same words are one node from the start. Very long texts are read whole; a
+    tie for a bucket's hub goes to the smallest id.
 
     Empty and null texts have 0 shingles and link with nothing, nor do rows with a null id: those have component null and
     are kept. Repeated rows are in one component and marked alike, as are all rows of one id, which count as one document; an empty table gives no rows; other columns are not read.
@@ -324,6 +334,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents by three-word shingles at 85 %."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
 
 
