@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import decided, map_rows, table
+from larkspur.llm.common import Workspace, decided, map_rows, table
 
 #: Edits allowed for each character of a test item.
 RATE = 0.1
@@ -95,7 +97,7 @@ class Item(Pattern):
 
 
 class Matcher:
-    """Finds test items in texts. Items without words are never found."""
+    """Finds test items in texts. Items without words are never found; those too short for an edit are found as whole words only, not inside others."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = [Item(k, plain, rate) for k, text in items if (plain := normalise(text))]
@@ -122,7 +124,12 @@ class Matcher:
         for n in sorted(hits):
             item = self.items[n]
             best = (item.budget + 1, 0)
-            exact = next((s for s in sorted({s for s, _ in hits[n]}) if s >= 0 and text.startswith(item.text, s)), None)
+            starts = sorted({s for s, _ in hits[n]})
+            if not item.budget:
+                whole = lambda k: not 0 <= k < len(text) or text[k] == " "
+                starts = [s for s in starts if whole(s - 1) and whole(s + item.length)]
+                hits[n] = {(s, 0) for s in starts}
+            exact = next((s for s in starts if s >= 0 and text.startswith(item.text, s)), None)
             if exact is not None:
                 best = (0, exact + item.length)
             else:
@@ -142,37 +149,53 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The benchmark's rows (item_id, text) in blocks of about ``chars`` characters, dealt by a hash; null texts are left out."""
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's rows (item_id, text) in blocks of about ``chars`` characters, dealt by a hash, one at a time; null texts are left out."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / chars))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for k in range(n)]
+    for k in range(n):
+        yield sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def passes(benchmark: DataFrame, chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block, sent to the executors, and whether more follow; a block is let go when the next one is asked for, so the driver holds two at most."""
+    rest = blocks(benchmark, chars)
+    block = next(rest)
+    while block is not None:
+        after = next(rest, None)
+        sent = benchmark.sparkSession.sparkContext.broadcast(block)  # bounded by the block's characters
+        yield sent, after is not None
+        if after is not None:
+            sent.destroy()
+        block = after
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance``, ``budget`` and ``end_at`` for every document and test item found in it.
 
-    An item is found where a substring of the whole normalised text is within floor(rate x length) edits of it. Its budget
-    + 1 pieces are looked up by one automaton for all items; Myers' algorithm verifies around each hit. Null and empty
-    texts and items match nothing, repeated rows match alike, null ids stay, empty tables give no rows, other columns are
-    not read. Documents are not shuffled; the benchmark is broadcast in blocks of bounded size.
+    An item is found where a substring of the whole normalised text is within floor(rate x length) edits of it; with no edit
+    to spare it must stand between spaces. Its budget + 1 pieces are looked up by one automaton for all items; Myers'
+    algorithm verifies around each hit. Ties between places go to the first. Null and empty texts and items match
+    nothing, repeated rows match alike, very long texts are read whole, null ids stay, empty tables give no rows, other columns
+    are not read. Documents are not shuffled; the benchmark is broadcast in blocks of about ``chars`` characters, a pass over
+    the documents each, whose hits are written before the next.
     """
-    spark, parts = docs.sparkSession, []
+    work, parts = Workspace(docs.sparkSession, "leaks"), []
     kind = "array<struct<item_id:bigint,distance:int,budget:int,end_at:bigint>>"
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)  # bounded by BLOCK_CHARS
+    for sent, more in passes(benchmark, chars):
         made = _found(sent, rate)
         hits = map_rows(docs, ["doc_id"], ["text"], f"hits {kind}", lambda texts, made=made: ([made().find(x) for x in texts],))
-        parts.append(hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*"))
+        found = hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+        parts.append(work.write(found, f"hits-{len(parts)}") if more else found)
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     return out
 
 
-def _found(sent, rate: float):
+def _found(sent: Broadcast, rate: float):
     """A function that builds the block's matcher once for each task."""
     held: list[Matcher] = []
 
@@ -184,13 +207,19 @@ def _found(sent, rate: float):
     return matcher
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no test item is found."""
-    for block in blocks(benchmark):
-        made = _found(docs.sparkSession.sparkContext.broadcast(block), rate)
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no test item is found; see ``find_leaks``."""
+    work, k = Workspace(docs.sparkSession, "clean"), 0
+    for sent, more in passes(benchmark, chars):
+        made = _found(sent, rate)
         docs = decided(docs, "leaks int", lambda texts, made=made: ([len(made().find(x)) for x in texts],), lambda x: x == 0)
+        if more:
+            docs = work.write(docs, f"kept-{k}")
+            work.drop(f"kept-{k - 1}")
+            k += 1
     return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find_leaks`` of all documents and benchmark items."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
