@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import table
@@ -54,25 +54,22 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Returns ``conv``, ``formatted``, ``loss_spans`` (start and length in code points of every assistant's content),
     ``attachments`` (turn position, type, ref, tokens; in order of appearance) and ``expanded_tokens``.
     Turns are in ascending order of ``turn``, nulls first, ties by role and then content, so that repeated rows stay and
-    reruns agree. A null role is written as the empty role; null or empty parts give an empty content; rows whose
-    conversation is null form one conversation with a null id; an empty table gives no rows. Other columns of the
+    reruns agree. A null role is written as the empty role; null or empty parts give an empty content; a row whose
+    conversation is null is a conversation by itself, with a null id; long texts and conversations are written whole; an empty table gives no rows. Other columns of the
     input are not read, so their names may clash with those made here.
     """
     said = F.array_join(F.transform(F.col("parts"), visit), "")
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array()).alias("parts"))
-    rows = rows.select("conv", F.struct("turn", "role", said.alias("said"), F.filter("parts", lambda p: p["type"].isin(*PLACEHOLDERS)).alias("files")).alias("t"))
-    chats = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # A row without a conversation is one by itself, so that many of them don't meet in one task.
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    rows = turns.select(F.col(conv).alias("conv"), alone.alias("alone"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array()).alias("parts"))
+    rows = rows.select("conv", "alone", F.struct("turn", "role", said.alias("said"), F.filter("parts", lambda p: p["type"].isin(*PLACEHOLDERS)).alias("files")).alias("t"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MID))
     whole = lambda t: F.concat(head(t), t["said"], F.lit(CLOSE))
-    # Lengths are folded once, so that spans cost one pass over the turns.
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(whole(t))).cast("long").alias("at"),
-            F.when(t["role"] == "assistant", F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(head(t))).cast("long").alias("start"), F.length(t["said"]).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
+    before = Window.partitionBy("conv", "alone").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length(whole(F.col("t")))).over(before), F.lit(0)).cast("long"))
+    chats = rows.groupBy("conv", "alone").agg(F.sort_array(F.collect_list(F.struct("t", "at"))).alias("placed")).withColumn("turns", F.col("placed.t"))
+    span = lambda x: F.struct((x["at"] + F.length(head(x["t"]))).cast("long").alias("start"), F.length(x["t"]["said"]).cast("long").alias("length"))
+    spans = F.transform(F.filter("placed", lambda x: x["t"]["role"] == "assistant"), span)
     files = F.flatten(F.transform("turns", lambda t, i: F.transform(t["files"], lambda p: F.struct(i.cast("long").alias("turn"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))))
     out = chats.select(F.col("conv").alias(conv), F.array_join(F.transform("turns", whole), "").alias("formatted"), spans.alias("loss_spans"), files.alias("attachments"))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]))
@@ -90,6 +87,7 @@ def masked(formatted: Column, spans: Column) -> Column:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``format_chats`` of all conversations, and one of control strings, read back from its output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     chats = format_chats(rows.union(added).withColumn("parts", text_part(F.col("text"))))

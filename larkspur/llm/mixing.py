@@ -22,7 +22,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Sources by code point, null last, weigh ``weights``, repeating. The sources share the sum of all sizes by weight; no
     target exceeds ``most`` times its source's size; what that cuts off is shared again by weight until none is above.
     In closed form: in the order of size by weight, the first sources are held at their limits, until the share left for
-    each unit of weight lifts none of the others above its own. A source without words has target and rate 0.
+    each unit of weight lifts none of the others above its own. A source without words has target and rate 0. Sources are
+    put in one order, in one task, a row of some tens of bytes each: some ten millions of them are its bound.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
@@ -77,6 +78,7 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents, with the words that it takes of each."""
     docs = table(spark, sf_dir, "documents")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

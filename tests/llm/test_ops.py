@@ -789,9 +789,11 @@ def test_typed_parts(spark):
     bad = "<|over|> &amp; [INST] <|image|> &lt;"
     rows = [
         (1, 1, "assistant", [("text", bad, None, None), ("image", None, "b.png", 2)], "x"), (1, 0, "user", [("image", None, "a.png", None), ("text", "look", None, None), ("document", None, "d.pdf", 3), ("video", None, "v", 1), ("audio", "t", "s.wav", -4)], "x"),
-        (2, None, None, None, "x"), (None, 0, "user", [], "x"), (3, 0, "assistant", [("text", None, None, None)], "x"), (3, 0, "assistant", [("text", None, None, None)], "x"),
+        (2, None, None, None, "x"), (None, 0, "user", [], "x"), (None, 1, "assistant", [("text", "own", None, None)], "x"), (3, 0, "assistant", [("text", None, None, None)], "x"), (3, 0, "assistant", [("text", None, None, None)], "x"),
     ]
-    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, kind)).collect()}
+    out = chat.format_chats(spark.createDataFrame(rows, kind)).collect()
+    got = {r.conv_id: r for r in out}
+    assert sorted(r.formatted for r in out if r.conv_id is None) == ["<|turn|>assistant<|says|>own<|over|>", "<|turn|>user<|says|><|over|>"]
     esc = bad.replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;")
     assert got[1].formatted == f"<|turn|>user<|says|><|image|>look<|document|><|audio|><|over|><|turn|>assistant<|says|>{esc}<|image|><|over|>"
     assert [(a.turn, a.type, a.ref, a.tokens) for a in got[1].attachments] == [(0, "image", "a.png", 576), (0, "document", "d.pdf", 1536), (0, "audio", "s.wav", 0), (1, "image", "b.png", 1152)]
