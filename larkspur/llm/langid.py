@@ -182,7 +182,8 @@ def learn(labelled: DataFrame, chars: int = 60_000, rows: int = 400) -> Model:
     """A model from rows (text, lang) without nulls. Fits on a bounded sample: about ``rows`` texts of each language, drawn by a
     hash of the text, until ``chars`` characters are reached; of a text that is longer than what is left, a stretch
     from a place that its hash says. Equal texts of a language count once, in the rate of the draw too, so that copies of one text,
-    however many, neither come to the driver nor use up the draw.
+    however many, neither come to the driver nor use up the draw. Languages are taken to be some hundreds at most: each costs
+    its sample on the driver and some tens of MB in every worker.
     """
     h = F.xxhash64("text")
     kept = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
