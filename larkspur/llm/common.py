@@ -60,6 +60,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, kind: str):
         self.spark, self.path, self.known = spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}", []
+        # Kept for the end, when the session may have been stopped.
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         atexit.register(self.close)
 
     @contextlib.contextmanager
@@ -77,39 +79,56 @@ class Workspace:
             df.write.mode("overwrite").option("compression", "zstd").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
-    def write_bucketed(self, df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
-        """The same with rows dealt by a column, so that joins by it leave them where they are. The catalogue knows the table meanwhile."""
+    def read(self, name: str, columns: str) -> DataFrame:
+        """A table, or a folder of one, with columns by name and type; without rows where nothing was written."""
+        if not self._fs().exists(self._at(name)):
+            return self.spark.createDataFrame([], columns)
+        return self.spark.read.schema(columns).parquet(f"{self.path}/{name}")
+
+    def write_bucketed(self, df: DataFrame, name: str, by: str, buckets: int, apart: str) -> DataFrame:
+        """Like ``write``, with rows dealt by a column, so that joins by it leave them where they are, and a folder for each value of ``apart``.
+
+        The catalogue knows the table meanwhile.
+        """
         known = f"larkspur_{uuid.uuid4().hex}"
         with self._clean():
-            df.write.bucketBy(buckets, by).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(known)
+            df.write.partitionBy(apart).bucketBy(buckets, by).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(known)
         self.known.append(known)
         return self.spark.table(known)
 
     def drop(self, name: str) -> None:
         """Removes a table, or with an empty name all of them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs().delete(self._at(name), True)
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _fs(self):
+        return self._at("").getFileSystem(self.conf)
 
     def close(self) -> None:
-        """Removes everything; a session that has ended takes nothing any more."""
+        """Removes everything, as far as it can still be reached."""
+        with contextlib.suppress(Exception):
+            self.drop("")
         with contextlib.suppress(Exception):
             for known in self.known:
                 self.spark.sql(f"DROP TABLE IF EXISTS {known}")
-            self.drop("")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, of: int, left_out: int) -> tuple[list[tuple[str, int]], dict[int, float]]:
     """At most ``rows`` labelled texts of each class, and the share of each class's labels that these are.
 
     Draws by a hash of the id from rows of ``labels`` whose id and label are not null and whose fold ``of`` is not
-    ``left_out``; all of them where there are fewer. Null texts count as empty. The labels drawn are bounded by ``rows``
+    ``left_out``; all of them where there are fewer. Null texts count as empty; of rows that share an id the one with the
+    least hash of its text is taken. The labels drawn are bounded by ``rows``
     for each of the two classes, so they are broadcast.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), of) != left_out))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+    # Of rows with one id, however many, one comes to the driver.
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label").collect()
     texts = [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], r["label"]))]
     return texts, {k: min(1.0, rows / n) for k, n in counts.items()}
 

@@ -9,8 +9,8 @@ evaluates the recursion for each of its n-grams: the discounted share where it w
 times what the order below gives.
 
 What is shuffled is a few bytes for each distinct n-gram of a chunk, so it grows with the input; a frequent n-gram counts
-once a chunk; and neither side holds more than a chunk or a partition. The n-grams of a history with more than about half a
-partition's tokens are spread by their last word, over as many partitions as its tokens would fill twice, and its sums are added up.
+once a chunk; and neither side holds more than a chunk or a partition. The n-grams of a history with more than half a
+partition's tokens are spread by their last word over as many partitions as it would fill twice, and its sums are added up.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from larkspur.llm.common import Workspace, table
 
 ORDER = 3
 #: Tokens of a chunk, and tokens for each partition of the counts.
-CHUNK, SHARE = 1_000_000, 1_500_000
+CHUNK, SHARE = 1_000_000, 1_000_000
 #: Histories spread at most, so that their sums stay few; one has more than this part of all tokens.
 SPREAD = 65_536
 #: Counts up to this one are discounted.
@@ -44,7 +44,7 @@ FOLDS, HELD = 10, 0
 
 def pack(a: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1) if len(a) else b""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 3) if len(a) else b""
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
@@ -64,6 +64,21 @@ def unpack_steps(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(unpack(data, kind), dtype=kind)
 
 
+def pack_values(a: np.ndarray) -> bytes:
+    """Small floats that repeat, as numbers into the list of unlike ones, where that is short."""
+    unlike, at = np.unique(a, return_inverse=True)
+    if 8 * len(unlike) > len(a):
+        return pack(a)
+    return b"#" + len(unlike).to_bytes(4, "little") + unlike.tobytes() + pack(at.astype(np.uint32))
+
+
+def unpack_values(data: bytes, kind: type) -> np.ndarray:
+    if data[:1] != b"#":
+        return unpack(data, kind)
+    end = 5 + int.from_bytes(data[1:5], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(data[5:end], kind)[unpack(data[end:], np.uint32)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -143,19 +158,35 @@ class Grams:
         return np.where(count > 0, seen, kept / np.maximum(np.where(sums > 0, free, 1.0), 1e-300) * lower)
 
 
+CHUNK_ROWS = "kind string, chunk long, ids array<bigint>, lens binary, held binary, tokens binary, place binary, word binary, n binary, size long, learnt long"
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents to rows of chunks. A text's tokens are its words and one end, the empty word, which is number 0."""
+    """Rows of documents to two rows a chunk: its texts, and its words in order of hash with how often its training texts have them.
+
+    A text's tokens are its words and one end, the empty word, which is number 0; ``place`` is each number's place among the words.
+    """
     part, nth = TaskContext.get().partitionId(), 0
     ids: list = []
     texts: list[np.ndarray] = []
     held: list[bool] = []
     number: dict[bytes, int] = {b"": 0}
     size = 0
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6, pa.int64(), pa.int64())
+    names = ["kind", "chunk", "ids", "lens", "held", "tokens", "place", "word", "n", "size", "learnt"]
 
-    def row() -> pa.RecordBatch:
+    def rows() -> pa.RecordBatch:
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-        cells = [[part << 32 | nth], [ids], [pack(np.array([len(t) for t in texts], np.uint32))], [pack(np.array(held, np.uint8))], [pack(np.concatenate(texts))], [pack(words)], [size], [held.count(False)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()), strict=True)], names=["chunk", "ids", "lens", "held", "tokens", "words", "size", "learnt"])
+        order = np.argsort(words)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        tokens, lens = np.concatenate(texts), np.array([len(t) for t in texts], np.uint32)
+        n = np.bincount(tokens, np.repeat(~np.array(held), lens), len(number)).astype(np.uint32)
+        cells = [
+            ["texts", "words"], [part << 32 | nth] * 2, [ids, None], [pack(lens), None], [pack(np.array(held, np.uint8)), None], [pack(tokens), None], [pack(place), None],
+            [None, pack_steps(words[order])], [None, pack(n[order])], [size, 0], [held.count(False), 0],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=names)
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -166,10 +197,10 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(doc_id is None or crc32(str(doc_id).encode()) % FOLDS == HELD)
             size += len(own)
             if size >= CHUNK:
-                yield row()
+                yield rows()
                 nth, size, ids, texts, held, number = nth + 1, 0, [], [], [], {b"": 0}
     if ids:
-        yield row()
+        yield rows()
 
 
 def firsts(*columns: np.ndarray) -> np.ndarray:
@@ -198,31 +229,22 @@ class Chunk:
 
     def __init__(self, r: dict, parts: int):
         self.parts, self.ids, self.lens = parts, r["ids"], unpack(r["lens"], np.uint32).astype(np.int64)
-        self.tokens, self.held, self.hashes = unpack(r["tokens"], np.uint32).astype(np.int64), unpack(r["held"], np.uint8), unpack(r["words"], np.uint64)
+        self.tokens, self.held = unpack(r["tokens"], np.uint32).astype(np.int64), unpack(r["held"], np.uint8)
+        self.place = unpack(r["place"], np.uint32)
         self.starts = np.cumsum(self.lens) - self.lens
         self.learnt = np.repeat(self.held == 0, self.lens)
-        order = np.argsort(self.hashes)
-        part = ((self.hashes[order] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-        again = by_part(part)
-        self.order, self.part = order[again], part[again]  # words by partition and hash
-
-    def words(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """What is sent of the words: hashes and how often the chunk's training texts have them."""
-        n = np.bincount(self.tokens, self.learnt, len(self.hashes)).astype(np.uint32)
-        for p, k in spans(self.part):
-            yield p, self.hashes[self.order[k]], n[self.order[k]]
 
     def learn_words(self, got: dict[int, dict], words: Words, begins: int) -> None:
         """From here on, words are numbered in the order of their global numbers; after them comes what stands before a text."""
-        size = len(self.hashes)
-        number, count = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        for p, k in spans(self.part):
-            number[self.order[k]] = unpack(got[p]["place"], np.uint32) | np.uint64(p) << PLACE
-            count[self.order[k]] = unpack(got[p]["count"], np.uint64)
+        numbers, counts = [], []
+        for p in sorted(got):  # the partitions are ranges of the hash, so together they are all words in its order
+            numbers.append(unpack(got[p]["place"], np.uint32) | np.uint64(p) << PLACE)
+            counts.append(unpack(got[p]["count"], np.uint64).astype(np.int64))
+        number, count = np.concatenate(numbers), np.concatenate(counts)
         order = np.argsort(number)
-        place = np.empty(size, np.int64)
-        place[order] = np.arange(size)
-        self.w = place[self.tokens]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.w = place[self.place][self.tokens]
         self.word_number = np.append(number[order], BEGIN)
         count = count[order]
         self.p = words.probability(count).astype(np.float32)[self.w]
@@ -234,7 +256,8 @@ class Chunk:
     def grams(self, order: int, limit: int) -> None:
         """Distinct n-grams of the next order, by partition, history and word: a token after the n-gram of the order reached that ends before it.
 
-        A text's first token follows what stands before all texts; tokens with fewer tokens before them than ``order`` asks for have no n-gram.
+        A text's first token follows what stands before all texts; tokens with fewer tokens before them than ``order`` asks for
+        have no n-gram.
         """
         history = np.empty_like(self.gram)
         history[1:] = self.gram[:-1]
@@ -247,16 +270,17 @@ class Chunk:
         h, w = np.divmod(key[at[first]], len(self.word_number))
         number, many = self.number[h], self.count[h]
         part = ((number >> PLACE) % np.uint64(self.parts)).astype(np.int64)
-        self.hot = np.flatnonzero(many > limit)
-        over = -(-2 * many[self.hot] // limit)
-        part[self.hot] = (part[self.hot] + (mix(self.word_number[w[self.hot]]) % over.astype(np.uint64)).astype(np.int64)) % self.parts
+        hot = np.flatnonzero(many > limit)
+        over = -(-2 * many[hot] // limit)
+        part[hot] = (part[hot] + (mix(self.word_number[w[hot]]) % over.astype(np.uint64)).astype(np.int64)) % self.parts
         again = by_part(part)
         place = np.empty(len(again), np.int64)
         place[again] = np.arange(len(again))
         of = np.empty(len(key), np.int64)
         of[at] = np.repeat(place, sizes)
         self.part, self.h, self.word = part[again], number[again], self.word_number[w[again]]
-        self.spread = np.isin(np.arange(len(again)), place[self.hot]) if len(self.hot) else np.zeros(len(again), bool)
+        self.spread = np.zeros(len(again), bool)
+        self.spread[place[hot]] = True
         self.lower = self.p[self.has][at[first[again]]]
         self.n = np.bincount(of, self.learnt[self.has], len(again)).astype(np.uint32)
         self.of = of
@@ -264,30 +288,28 @@ class Chunk:
     def learn(self, got: dict[int, dict], model: Grams, last: bool) -> None:
         """The n-grams' probabilities from what the partitions sent back."""
         size = len(self.h)
-        count, sums, free, number = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size), np.zeros(size, np.uint64)
-        few = np.zeros((KATZ, size), np.int64)
-        for p, k in spans(self.part):
-            g = got[p]
+        p, count, number = np.zeros(size, np.float32), np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        lower = self.lower.astype(np.float64)
+        for of, k in spans(self.part):
+            g = got[of]
             count[k] = unpack(g["count"], np.uint32)
             first = firsts(self.h[k])
             at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, k.stop - k.start]))
-            sums[k], few[:, k] = unpack(g["sums"], np.uint64)[at], unpack(g["few"], np.uint32).reshape(KATZ, len(first))[:, at]
-            asked = np.logical_or.reduceat(count[k] == 0, first)
-            own = np.ones(len(first))
-            own[asked] = unpack(g["free"], np.float32)
-            free[k] = own[at]
+            sums, few = unpack(g["sums"], np.uint64).astype(np.int64), unpack(g["few"], np.uint32).reshape(KATZ, len(first)).astype(np.int64)
+            free = np.ones(len(first))
+            free[np.logical_or.reduceat(count[k] == 0, first)] = unpack(g["free"], np.float32)
+            # Of a history that is spread the driver knows the whole sums.
+            for j in np.flatnonzero(self.spread[k][first]):
+                whole, covered = model.spread[int(self.h[k][first[j]])]
+                sums[j], few[:, j], free[j] = whole[0], whole[1:], 1 - covered
+            p[k] = model.probability(count[k], sums[at], few[:, at], free[at], lower[k])
             if not last:
-                number[k] = unpack_steps(g["place"], np.uint32) | np.uint64(p) << PLACE
-        for h, (whole, covered) in model.spread.items():
-            k = np.flatnonzero(self.h[self.spread] == np.uint64(h)) if self.spread.any() else []
-            if len(k):
-                k = np.flatnonzero(self.spread)[k]
-                sums[k], few[:, k], free[k] = whole[0], whole[1:, None], 1 - covered
-        p = model.probability(count, sums, few, free, self.lower.astype(np.float64)).astype(np.float32)
+                number[k] = unpack_steps(g["place"], np.uint32) | np.uint64(of) << PLACE
         self.p[self.has] = p[self.of]
-        gram = np.full(len(self.tokens), -1)
-        gram[self.has] = self.of
-        self.gram, self.number, self.count = gram, number, count
+        if not last:
+            self.gram = np.full(len(self.tokens), -1)
+            self.gram[self.has] = self.of
+            self.number, self.count = number, count
 
     def scores(self) -> np.ndarray:
         return np.add.reduceat(np.log10(self.p.astype(np.float64)), self.starts)
@@ -304,7 +326,7 @@ def answers(rows: list[dict]) -> pa.Table:
 def count_words(group: pa.Table) -> pa.Table:
     """A partition's words: totals and places by total back to each chunk, and one row of sums."""
     chunk, p = group.column("chunk").to_pylist(), group.column("p")[0].as_py()
-    words = [unpack(x, np.uint64) for x in group.column("word").to_pylist()]
+    words = [unpack_steps(x, np.uint64) for x in group.column("word").to_pylist()]
     uniq, inv = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(inv, np.concatenate([unpack(x, np.uint32) for x in group.column("n").to_pylist()])).astype(np.int64)
     place = np.empty(len(uniq), np.uint32)
@@ -322,7 +344,7 @@ def count_grams(group: pa.Table, last: bool) -> pa.Table:
     chunk, p = group.column("chunk").to_pylist(), group.column("p")[0].as_py()
     get = lambda name, how, kind: [how(x, kind) for x in group.column(name).to_pylist()]
     hs, w = get("h", unpack_steps, np.uint64), np.concatenate(get("word", unpack, np.uint64))
-    n, lower = np.concatenate(get("n", unpack, np.uint32)), np.concatenate(get("lower", unpack, np.float32))
+    n, lower = np.concatenate(get("n", unpack, np.uint32)), np.concatenate(get("lower", unpack_values, np.float32))
     sizes, begins = [len(h) for h in hs], [firsts(h) for h in hs]
     uh = np.unique(np.concatenate([h[f] for h, f in zip(hs, begins, strict=True)]))
     own = [np.searchsorted(uh, h[f]) for h, f in zip(hs, begins, strict=True)]
@@ -368,10 +390,10 @@ class Scorer:
         self.order, self.work = order, Workspace(docs.sparkSession, "lm")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        made = texts.mapInArrow(chunks, "chunk long, ids array<bigint>, lens binary, held binary, tokens binary, words binary, size long, learnt long")
         # The joins by chunk find the chunks where they are, and move only the answers.
         self.buckets = max(12, math.ceil(chars / 6 / CHUNK))
-        self.texts = self.work.write_bucketed(made, "chunks", "chunk", self.buckets)
+        made = self.work.write_bucketed(texts.mapInArrow(chunks, CHUNK_ROWS), "chunks", "chunk", self.buckets, "kind")
+        self.texts = made.filter("kind = 'texts'").drop("kind", "word", "n")
         tokens, self.begins = (x or 0 for x in self.texts.agg(F.sum("size"), F.sum("learnt")).first())
         self.parts = max(12, math.ceil(tokens / SHARE))
         self.limit = max(SHARE // 2, tokens // SPREAD, 1)
@@ -417,10 +439,14 @@ class Scorer:
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in _rows(batches):
-                yield _record(kinds, [(p, r["chunk"], pack(w), pack(n)) for p, w, n in Chunk(r, parts).words()])
+                words, n = unpack_steps(r["word"], np.uint64), unpack(r["n"], np.uint32)
+                part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # a range of hashes each
+                yield _record(kinds, [(p, r["chunk"], pack_steps(words[k]), pack(n[k])) for p, k in spans(part)])
 
-        sent = self.texts.mapInArrow(send, "p int, chunk long, word binary, n binary")
+        words = self.work.read("chunks/kind=words", "chunk long, word binary, n binary")
+        sent = words.mapInArrow(send, "p int, chunk long, word binary, n binary")
         self.told.append(self.work.write(sent.groupBy("p").applyInArrow(count_words, ANSWER_ROWS), "grams-1"))
+        self.work.drop("chunks/kind=words")
         sums = self.sums(self.told[-1])
         self.words = Words(sums[0], sums[1], sums[2:])
 
@@ -433,7 +459,7 @@ class Scorer:
             for r in _rows(batches):
                 c = bring(r)
                 for p, k in spans(c.part):
-                    yield _record(kinds, [(p, r["chunk"], pack_steps(c.h[k]), pack(c.word[k]), pack(c.n[k]), pack(c.lower[k]), pack(np.unique(c.h[k][c.spread[k]])))])
+                    yield _record(kinds, [(p, r["chunk"], pack_steps(c.h[k]), pack(c.word[k]), pack(c.n[k]), pack_values(c.lower[k]), pack(np.unique(c.h[k][c.spread[k]])))])
 
         sent = self.joined().mapInArrow(send, "p int, chunk long, h binary, word binary, n binary, lower binary, spread binary")
         told = self.work.write(sent.groupBy("p").applyInArrow(lambda group: count_grams(group, last), ANSWER_ROWS), f"grams-{order}")
