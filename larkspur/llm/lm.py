@@ -31,7 +31,7 @@ from larkspur.llm.common import Workspace, table
 
 ORDER = 3
 #: Tokens of a chunk, and tokens for each partition of the counts.
-CHUNK, SHARE = 1_000_000, 1_000_000
+CHUNK, SHARE = 1_200_000, 1_000_000
 #: Histories spread at most, so that their sums stay few; one has more than this part of all tokens.
 SPREAD = 65_536
 #: Counts up to this one are discounted.
