@@ -49,6 +49,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Removes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch that Python gets.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Workspace:
@@ -65,17 +67,21 @@ class Workspace:
         atexit.register(self.close)
 
     @contextlib.contextmanager
-    def _clean(self) -> Iterator[None]:
-        had = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
+    def _clean(self, at_once: int | None = None) -> Iterator[None]:
+        wanted = {CLEAN: "true"} | ({BATCH: str(at_once)} if at_once else {})
+        had = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            self.spark.conf.unset(CLEAN) if had is None else self.spark.conf.set(CLEAN, had)
+            for k, v in had.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
+        """A table of ``df``; Python functions in it get batches of at most ``at_once`` rows."""
         to = f"{self.path}/{name}"
-        with self._clean():
+        with self._clean(at_once):
             df.write.mode("overwrite").option("compression", "zstd").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 

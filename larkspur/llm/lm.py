@@ -15,6 +15,8 @@ partition's tokens are spread by their last word over as many partitions as it w
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 from zlib import crc32
@@ -40,19 +42,30 @@ KATZ = 5
 PLACE = np.uint64(24)
 BEGIN = np.uint64(1 << 63)
 FOLDS, HELD = 10, 0
+#: Texts that are Python strings at once.
+FEW = 500
 
 
 def pack(a: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 3) if len(a) else b""
+    if not len(a):
+        return b""
+    whole = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+    planes = np.empty((a.itemsize, len(a)), np.uint8)
+    for k in range(a.itemsize):  # a plane at a time takes a tenth of the time of a transposed copy
+        planes[k] = whole[:, k]
+    return zstandard.compress(planes, 3)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     if not data:
         return np.zeros(0, kind)
     size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
+    whole = np.empty((planes.shape[1], size), np.uint8)
+    for k in range(size):
+        whole[:, k] = planes[k]
+    return whole.reshape(-1).view(kind)
 
 
 def pack_steps(a: np.ndarray) -> bytes:
@@ -79,6 +92,13 @@ def unpack_values(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(data[5:end], kind)[unpack(data[end:], np.uint32)]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where its allocators can do that: a worker stays, beside its executor's JVM, for the steps to come."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -188,19 +208,27 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=names)
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = [number.setdefault(w, len(number)) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
-            own.append(0)
-            ids.append(doc_id)
-            texts.append(np.array(own, np.uint32))
-            held.append(doc_id is None or crc32(str(doc_id).encode()) % FOLDS == HELD)
-            size += len(own)
-            if size >= CHUNK:
-                yield rows()
-                nth, size, ids, texts, held, number = nth + 1, 0, [], [], [], {b"": 0}
+    def docs() -> Iterator[tuple]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, FEW):
+                few = batch.slice(k, FEW)
+                yield from zip(few.column("doc_id").to_pylist(), few.column("text").to_pylist(), strict=True)
+
+    for doc_id, text in docs():
+        own = [number.setdefault(w, len(number)) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+        own.append(0)
+        ids.append(doc_id)
+        texts.append(np.array(own, np.uint32))
+        held.append(doc_id is None or crc32(str(doc_id).encode()) % FOLDS == HELD)
+        size += len(own)
+        if size >= CHUNK:
+            yield rows()
+            nth, size, ids, texts, held, number = nth + 1, 0, [], [], [], {b"": 0}
+            give_back()
     if ids:
         yield rows()
+        ids, texts, held, number = [], [], [], {}
+        give_back()
 
 
 def firsts(*columns: np.ndarray) -> np.ndarray:
@@ -224,13 +252,23 @@ def by_part(part: np.ndarray) -> np.ndarray:
     return np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
 
 
+def ranks(order: np.ndarray) -> np.ndarray:
+    """Where each entry stands in an order."""
+    at = np.empty(len(order), np.int32)
+    at[order] = np.arange(len(order), dtype=np.int32)
+    return at
+
+
 class Chunk:
-    """One chunk's tokens, and its n-grams of the order reached. ``p`` is each token's probability by that order."""
+    """One chunk's tokens, and its n-grams of the order reached. ``p`` is each token's probability by that order.
+
+    What numbers tokens, words and n-grams within the chunk has 32 bits, and each array goes with its last reader: workers
+    share an executor's memory with its JVM.
+    """
 
     def __init__(self, r: dict, parts: int):
         self.parts, self.ids, self.lens = parts, r["ids"], unpack(r["lens"], np.uint32).astype(np.int64)
-        self.tokens, self.held = unpack(r["tokens"], np.uint32).astype(np.int64), unpack(r["held"], np.uint8)
-        self.place = unpack(r["place"], np.uint32)
+        self.held, self.packed = unpack(r["held"], np.uint8), (r["tokens"], r["place"])
         self.starts = np.cumsum(self.lens) - self.lens
         self.learnt = np.repeat(self.held == 0, self.lens)
 
@@ -242,9 +280,8 @@ class Chunk:
             counts.append(unpack(got[p]["count"], np.uint64).astype(np.int64))
         number, count = np.concatenate(numbers), np.concatenate(counts)
         order = np.argsort(number)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.w = place[self.place][self.tokens]
+        tokens, place = (unpack(x, np.uint32) for x in self.packed)
+        self.w = ranks(order)[place][tokens]
         self.word_number = np.append(number[order], BEGIN)
         count = count[order]
         self.p = words.probability(count).astype(np.float32)[self.w]
@@ -262,34 +299,42 @@ class Chunk:
         history = np.empty_like(self.gram)
         history[1:] = self.gram[:-1]
         history[self.starts] = len(self.word_number) - 1 if order == 2 else -1
-        self.has = np.flatnonzero(history >= 0) if order > 2 else slice(None)
-        key = history[self.has] * len(self.word_number) + self.w[self.has]
+        self.has = history >= 0
+        key = history[self.has] * np.int64(len(self.word_number))
+        key += self.w[self.has]
+        self.gram = history = None
         at = np.argsort(key)
-        first = firsts(key[at])
-        sizes = np.diff(np.r_[first, len(key)])
-        h, w = np.divmod(key[at[first]], len(self.word_number))
-        number, many = self.number[h], self.count[h]
-        part = ((number >> PLACE) % np.uint64(self.parts)).astype(np.int64)
-        hot = np.flatnonzero(many > limit)
-        over = -(-2 * many[hot] // limit)
+        key = key[at]
+        at = at.astype(np.int32)
+        first = firsts(key).astype(np.int32)
+        h, w = (x.astype(np.int32) for x in np.divmod(key[first], len(self.word_number)))
+        sizes = np.diff(first, append=np.int32(len(key)))
+        key = None
+        number = self.number[h]
+        part = ((number >> PLACE) % np.uint64(self.parts)).astype(np.int32)
+        hot = np.flatnonzero(self.count[h] > limit)
+        over = -(-2 * self.count[h[hot]].astype(np.int64) // limit)
         part[hot] = (part[hot] + (mix(self.word_number[w[hot]]) % over.astype(np.uint64)).astype(np.int64)) % self.parts
-        again = by_part(part)
-        place = np.empty(len(again), np.int64)
-        place[again] = np.arange(len(again))
-        of = np.empty(len(key), np.int64)
-        of[at] = np.repeat(place, sizes)
-        self.part, self.h, self.word = part[again], number[again], self.word_number[w[again]]
+        self.number = self.count = h = None
+        again = by_part(part).astype(np.int32)
+        place = ranks(again)
+        self.part, self.h, self.word = part[again], number[again], w[again]
+        number = w = part = None
         self.spread = np.zeros(len(again), bool)
         self.spread[place[hot]] = True
         self.lower = self.p[self.has][at[first[again]]]
-        self.n = np.bincount(of, self.learnt[self.has], len(again)).astype(np.uint32)
-        self.of = of
+        self.n = np.add.reduceat(self.learnt[self.has][at], first, dtype=np.uint32)[again]
+        self.of = np.empty(len(at), np.int32)
+        self.of[at] = np.repeat(place, sizes)
+
+    def message(self, k: slice) -> tuple[bytes, ...]:
+        """What a partition gets: its n-grams' histories and words, their counts and lower probabilities, and the histories that are spread."""
+        return pack_steps(self.h[k]), pack(self.word_number[self.word[k]]), pack(self.n[k]), pack_values(self.lower[k]), pack(np.unique(self.h[k][self.spread[k]]))
 
     def learn(self, got: dict[int, dict], model: Grams, last: bool) -> None:
         """The n-grams' probabilities from what the partitions sent back."""
         size = len(self.h)
-        p, count, number = np.zeros(size, np.float32), np.zeros(size, np.int64), np.zeros(size, np.uint64)
-        lower = self.lower.astype(np.float64)
+        p, count, number = np.zeros(size, np.float32), np.zeros(size, np.uint32), np.zeros(0 if last else size, np.uint64)
         for of, k in spans(self.part):
             g = got[of]
             count[k] = unpack(g["count"], np.uint32)
@@ -302,14 +347,15 @@ class Chunk:
             for j in np.flatnonzero(self.spread[k][first]):
                 whole, covered = model.spread[int(self.h[k][first[j]])]
                 sums[j], few[:, j], free[j] = whole[0], whole[1:], 1 - covered
-            p[k] = model.probability(count[k], sums[at], few[:, at], free[at], lower[k])
+            p[k] = model.probability(count[k].astype(np.int64), sums[at], few[:, at], free[at], self.lower[k].astype(np.float64))
             if not last:
                 number[k] = unpack_steps(g["place"], np.uint32) | np.uint64(of) << PLACE
         self.p[self.has] = p[self.of]
         if not last:
-            self.gram = np.full(len(self.tokens), -1)
+            self.gram = np.full(len(self.w), -1, np.int32)
             self.gram[self.has] = self.of
             self.number, self.count = number, count
+        self.part = self.h = self.word = self.spread = self.lower = self.n = self.of = None
 
     def scores(self) -> np.ndarray:
         return np.add.reduceat(np.log10(self.p.astype(np.float64)), self.starts)
@@ -459,10 +505,11 @@ class Scorer:
             for r in _rows(batches):
                 c = bring(r)
                 for p, k in spans(c.part):
-                    yield _record(kinds, [(p, r["chunk"], pack_steps(c.h[k]), pack(c.word[k]), pack(c.n[k]), pack_values(c.lower[k]), pack(np.unique(c.h[k][c.spread[k]])))])
+                    yield _record(kinds, [(p, r["chunk"], *c.message(k))])
 
         sent = self.joined().mapInArrow(send, "p int, chunk long, h binary, word binary, n binary, lower binary, spread binary")
-        told = self.work.write(sent.groupBy("p").applyInArrow(lambda group: count_grams(group, last), ANSWER_ROWS), f"grams-{order}")
+        # A bucket may have several chunks; Python gets them one by one.
+        told = self.work.write(sent.groupBy("p").applyInArrow(lambda group: count_grams(group, last), ANSWER_ROWS), f"grams-{order}", at_once=1)
         self.told.append(told)
         whole: dict[int, tuple[np.ndarray, float]] = {}
         for r in told.filter("chunk IS NULL AND size(spread) > 0").select("spread", "covered").collect():  # at most SPREAD histories, and their pieces
