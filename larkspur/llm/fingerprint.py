@@ -11,55 +11,98 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import table
 
+#: Characters one by one: Java then looks most of them up in a table, where ranges and intersections are tested in turn.
 VOWEL = "[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ]"
-LETTER = "[a-zß-öø-ÿœ]"
-CONSONANT = f"[{LETTER}&&[^{VOWEL}]]"
+CONSONANT = "[bcdfghjklmnpqrstvwxzßçðñþ]"
+LETTER = f"[{VOWEL[1:-1]}{CONSONANT[1:-1]}]"
 #: What texts are made of: Latin letters up to one to three vowels, with the last consonants of a word, nine at most; any
 #: other character but white space alone. Where a unit ends is told by the letters beside it, so units fall into step
 #: again soon after an edit, without spaces too.
-UNIT = rf"{CONSONANT}{{0,3}}{VOWEL}{{1,3}}(?:{CONSONANT}{{1,3}}(?!{LETTER}))?|{CONSONANT}{{1,4}}|[^\x20\x09-\x0D]"
+UNIT = rf"{CONSONANT}{{0,3}}{VOWEL}{{1,3}}(?:{CONSONANT}{{1,3}}(?!{LETTER}))?|{CONSONANT}{{1,4}}|[^\x20\x09\x0A\x0B\x0C\x0D]"
 #: Units in a k-mer and in its inner s-mers. Of K - S + 1 inner s-mers the least must be the first or the last.
 K, S = 5, 2
 #: Anchors that a fingerprint keeps: those with the least hashes. Texts of fewer than SHORT units have their s-mers as anchors
 #: too, of fewer than TINY their units.
 KEPT, SHORT, TINY = 40, 24, 8
+#: An anchor and its place are one number, the place in so many lower bits.
+PLACE = 31
 #: Units by which places of shared anchors may differ from one offset and count as in step.
 STEP = 24
 #: Rows that one range of ids should hold, and the most ranges.
 RANGE_ROWS, RANGES, CHUNK = 2000, 16384, 128
 
 
-def anchors(rows: DataFrame, text: str, to: str) -> DataFrame:
-    """``rows`` with ``to``, a struct of ``hashes`` (32 bits, rising) and their ``places``: closed syncmers of the units of column ``text``.
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0))
+
+
+def smers(u: Column) -> Column:
+    """Hashes of the s-mers that begin at each unit; those of the last S - 1 units are of fewer."""
+    return F.transform(u, lambda x, i: F.xxhash64(x, *(F.get(u, i + k) for k in range(1, S))))
 
-    A k-mer is chosen by its own units alone, so an edit changes only the anchors that overlap it. Of all distinct anchors
-    the KEPT least ones stay, each with the number of the unit at which it first begins; so a long text's fingerprint is no
-    longer than a page's, and repeats count once. Texts are lower-cased, and white space only ends units. Any text with
-    a unit has an anchor; null, empty and blank texts have none.
-    """
-    u, s, c, n, h = (f"_{to}_{x}" for x in "uscnh")
-    # Each step reads the one before more than once, so the optimiser keeps them apart and each is computed once a row.
-    rows = rows.withColumn(u, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0)))
-    rows = rows.withColumn(s, F.transform(F.col(u), lambda x, i: F.xxhash64(x, *(F.get(F.col(u), i + k) for k in range(1, S))))).withColumn(n, F.size(u))
-    at = lambda i, k: F.get(F.col(s), i + k)
-    short = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+
+def short(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def syncmers(s: Column) -> Column:
+    """From s-mers: for each unit the hash (32 bits) of the k-mer that begins there, null where that is no closed syncmer or not whole."""
+    last = F.size(s) - K
 
     def choose(x: Column, i: Column) -> Column:
-        inner = [x, *(at(i, k) for k in range(1, K - S + 1))]
-        chosen = (i <= F.col(n) - K) & (F.least(*inner) == F.least(x, inner[-1]))
+        inner = [x, *(F.get(s, i + k) for k in range(1, K - S + 1))]
+        chosen = (i <= last) & (F.least(x, inner[-1]) <= F.least(*inner[1:-1]))
         return F.when(chosen, short(F.xxhash64(*inner[::S], *([inner[-1]] if (K - S) % S else []))))
 
-    def pairs(x: Column, i: Column) -> Column:
-        return F.when((i == 0) | (i <= F.col(n) - S), short(x))
+    return F.transform(s, choose)
+
 
-    syncmers = F.transform(F.col(s), choose)
-    mers = F.transform(F.col(s), pairs)
-    units = F.transform(F.col(u), lambda x: short(F.xxhash64(x)))
-    rows = rows.withColumn(c, F.when(F.col(n) < TINY, F.concat(units, mers, syncmers)).when(F.col(n) < SHORT, F.concat(mers, syncmers)).otherwise(syncmers))
-    rows = rows.withColumn(h, F.slice(F.sort_array(F.array_distinct(F.array_compact(F.col(c)))), 1, KEPT))
-    # A short text's syncmers stand after its units and s-mers, as many places each.
-    place = lambda x: F.pmod(F.array_position(F.col(c), x) - 1, F.greatest(F.col(n), F.lit(1)))
-    return rows.withColumn(to, F.struct(F.col(h).alias("hashes"), F.transform(F.col(h), place).alias("places"))).drop(u, s, c, n, h)
+def placed(c: Column, begin: Column) -> Column:
+    """Hashes with their places, counted from ``begin``, as numbers that rise with the hash, then the place; without nulls."""
+    return F.array_compact(F.transform(c, lambda x, i: F.shiftleft(x, PLACE) + i + begin))
+
+
+def least(a: Column, to: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``to``: of the numbers in ``a``, the KEPT least hashes, each where it first occurs."""
+    t = f"{to}_sorted"
+    rows = rows.withColumn(t, F.sort_array(a))
+    hash_of = lambda x: F.shiftright(x, PLACE)
+    new = F.filter(F.col(t), lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(F.col(t), i - 1))))
+    return rows.withColumn(to, F.slice(new, 1, KEPT)).drop(t)
+
+
+def anchors(rows: DataFrame, stem: str, ends: dict[str, str]) -> DataFrame:
+    """``rows`` with the anchors of some texts that begin alike: column ``stem``, which is empty or ends with a space, then one of ``ends``.
+
+    For each of these, by the name that ``ends`` gives, a struct of ``hashes`` (32 bits, rising) and their ``places``: closed
+    syncmers of the text's units. A k-mer is chosen by its own units alone, so an edit changes only the anchors that overlap
+    it. Of all distinct anchors the KEPT least ones stay, each with the number of the unit at which it first begins; so a
+    long text's fingerprint is no longer than a page's, and repeats count once. Texts are lower-cased, and white space only
+    ends units, so a stem's are the same whatever follows: its k-mers are hashed once, and only those that reach beyond it for
+    each end. Any text with a unit has an anchor; null, empty and blank texts have none.
+    """
+    col = F.col
+    # Each step reads the one before more than once, so the optimiser keeps them apart and each is computed once a row.
+    rows = rows.withColumn("_u", units(F.coalesce(col(stem), F.lit("")))).withColumn("_s", smers(col("_u")))
+    rows = rows.withColumn("_c", placed(F.slice(syncmers(col("_s")), F.lit(1), F.greatest(F.size("_s") - (K - 1), F.lit(0))), F.lit(0)))
+    rows = least(col("_c"), "_p", rows)
+    # The k-mers that reach beyond the stem begin here.
+    rows = rows.withColumn("_m", F.greatest(F.size("_u") - (K - 1), F.lit(0))).withColumn("_t", F.slice(col("_u"), col("_m") + 1, F.lit(K - 1)))
+    for end, to in ends.items():
+        rows = rows.withColumn("_v", F.concat("_t", units(F.coalesce(col(end), F.lit(""))))).withColumn("_w", smers(col("_v")))
+        rows = rows.withColumn("_n", col("_m") + F.size("_v"))
+        # A short text's syncmers stand after its units and s-mers, as many places each.
+        whole = F.concat(F.slice(col("_u"), F.lit(1), col("_m")), col("_v"))
+        s = F.concat(F.slice(col("_s"), F.lit(1), col("_m")), col("_w"))
+        mers = F.transform(s, lambda x, i: F.when((i == 0) | (i <= col("_n") - S), short(x)))  # noqa: B023
+        few = F.concat(mers, syncmers(s))
+        tiny = F.concat(F.transform(whole, lambda x: short(F.xxhash64(x))), few)
+        much = F.concat("_p", placed(syncmers(col("_w")), col("_m")))
+        rows = least(F.when(col("_n") < TINY, placed(tiny, F.lit(0))).when(col("_n") < SHORT, placed(few, F.lit(0))).otherwise(much), "_h", rows)
+        place = lambda x: F.pmod(x.bitwiseAND(F.lit((1 << PLACE) - 1)), F.greatest(col("_n"), F.lit(1)))
+        rows = rows.withColumn(to, F.struct(F.transform("_h", lambda x: F.shiftright(x, PLACE)).alias("hashes"), F.transform("_h", place).alias("places")))
+        rows = rows.drop("_v", "_w", "_n", "_h")
+    return rows.drop("_u", "_s", "_c", "_p", "_m", "_t")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,7 +181,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substr(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
-    rows = anchors(anchors(rows, "text", "own"), "edited", "changed")
+    # What is before the last space of what both texts begin with; nothing where there is no space.
+    kept = (F.col("n_chars") - cut).cast("int")
+    stem = F.when(F.col("extra"), F.lit(0)).otherwise(kept - F.length(F.substring_index(F.substr("text", F.lit(1), kept), " ", -1)))
+    rows = rows.withColumn("stem_chars", stem)
+    after = lambda x: F.substr(x, F.col("stem_chars") + 1)
+    rows = rows.withColumn("stem", F.substr("text", F.lit(1), F.col("stem_chars"))).withColumn("end", after("text")).withColumn("changed_end", after("edited"))
+    rows = anchors(rows, "stem", {"end": "own", "changed_end": "changed"})
     rows = rows.select("part", "extra", "key", "tie", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed")
     none = F.struct(F.array().cast("array<bigint>").alias("hashes"), F.array().cast("array<bigint>").alias("places"))
     rows = rows.withColumn("ahead", F.coalesce(F.lead("own").over(follows), none)).filter(~F.col("extra"))
