@@ -91,14 +91,14 @@ class Workspace:
             return self.spark.createDataFrame([], columns)
         return self.spark.read.schema(columns).parquet(f"{self.path}/{name}")
 
-    def write_bucketed(self, df: DataFrame, name: str, by: str, buckets: int, apart: str) -> DataFrame:
-        """Like ``write``, with rows dealt by a column, so that joins by it leave them where they are, and a folder for each value of ``apart``.
+    def write_bucketed(self, df: DataFrame, name: str, by: str, buckets: int, *apart: str) -> DataFrame:
+        """Like ``write``, with rows dealt by a column, so that joins by it leave them where they are, and a folder for each value of ``apart``, if named.
 
         The catalogue knows the table meanwhile.
         """
         known = f"larkspur_{uuid.uuid4().hex}"
         with self._clean():
-            df.write.partitionBy(apart).bucketBy(buckets, by).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(known)
+            df.write.partitionBy(*apart).bucketBy(buckets, by).option("path", f"{self.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(known)
         self.known.append(known)
         return self.spark.table(known)
 

@@ -1,10 +1,11 @@
 """Language-model scores by Katz backoff: Good-Turing discounted counts of n-grams, exactly normalised, order by order.
 
 Texts become chunks: about a million tokens as numbers of a dictionary of the chunk's own. For each order, a chunk sends each
-of its distinct n-grams once, with the probability that the order below gives its last word, to the partition that holds
-all n-grams of that history; the partition counts them, and gives counts, the history's sums and the n-grams' own numbers
-back in the same order. The numbers are the histories of the next order, so that order n + 1 lies in the partitions of
-order n. From the answers and the order's discounts, which the driver works out from the sums over all partitions, a chunk
+of its distinct n-grams once, with what makes up the probability that the order below gives its last word, to the partition
+that holds all n-grams of that history; the partition counts them, and gives counts, what the history's weight takes and, from
+triples on, the n-grams' own numbers back in the same order. The numbers are the histories of the next order, so that order
+n + 1 lies in the partitions of order n; triples, whose histories are named by their two words, are dealt by the second one. From
+the answers and the order's discounts, which the driver works out from the sums over all partitions, a chunk
 evaluates the recursion for each of its n-grams: the discounted share where it was seen, else the history's backoff weight
 times what the order below gives.
 
@@ -41,6 +42,8 @@ KATZ = 5
 #: A number is a partition and, in its lower bits, a place in it.
 PLACE = np.uint64(24)
 BEGIN = np.uint64(1 << 63)
+#: The rank of what stands before a text; words have lower ones.
+NONE = np.uint64((1 << 32) - 1)
 FOLDS, HELD = 10, 0
 #: Texts that are Python strings at once.
 FEW = 500
@@ -77,19 +80,33 @@ def unpack_steps(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(unpack(data, kind), dtype=kind)
 
 
-def pack_values(a: np.ndarray) -> bytes:
-    """Small floats that repeat, as numbers into the list of unlike ones, where that is short."""
-    unlike, at = np.unique(a, return_inverse=True)
-    if 8 * len(unlike) > len(a):
-        return pack(a)
-    return b"#" + len(unlike).to_bytes(4, "little") + unlike.tobytes() + pack(at.astype(np.uint32))
+def pack_runs(a: np.ndarray) -> bytes:
+    """Values as runs of equal ones where these are long, else as steps where they mostly rise, else as they are."""
+    first = firsts(a)
+    if 2 * len(first) <= len(a):
+        sizes = pack(np.diff(first, append=len(a)).astype(np.uint32))
+        return b"r" + len(sizes).to_bytes(4, "little") + sizes + pack_runs(a[first])
+    if a.dtype.kind == "u" and 10 * np.count_nonzero(a[1:] < a[:-1]) <= len(a):
+        return b"s" + pack_steps(a)
+    return b"p" + pack(a)
 
 
-def unpack_values(data: bytes, kind: type) -> np.ndarray:
-    if data[:1] != b"#":
-        return unpack(data, kind)
-    end = 5 + int.from_bytes(data[1:5], "little") * np.dtype(kind).itemsize
-    return np.frombuffer(data[5:end], kind)[unpack(data[end:], np.uint32)]
+def unpack_runs(data: bytes, kind: type) -> np.ndarray:
+    if data[:1] == b"r":
+        end = 5 + int.from_bytes(data[1:5], "little")
+        return np.repeat(unpack_runs(data[end:], kind), unpack(data[5:end], np.uint32))
+    return (unpack_steps if data[:1] == b"s" else unpack)(data[1:], kind)
+
+
+def pack_histories(a: np.ndarray) -> bytes:
+    """The upper and the lower halves, each by itself."""
+    upper = pack_runs((a >> np.uint64(32)).astype(np.uint32))
+    return len(upper).to_bytes(4, "little") + upper + pack_runs(a.astype(np.uint32))
+
+
+def unpack_histories(data: bytes, kind: type) -> np.ndarray:
+    end = 4 + int.from_bytes(data[:4], "little")
+    return unpack_runs(data[4:end], np.uint32).astype(kind) << kind(32) | unpack_runs(data[end:], np.uint32)
 
 
 def give_back() -> None:
@@ -148,11 +165,12 @@ class Words:
         self.total, self.types, self.d = total, types, discounts(n)
         left = sum(r * n[r - 1] * (1 - self.d[r]) for r in range(1, KATZ + 1)) / total if total else 1.0
         self.unknown = max(left, 1 / (total + 1))
-        self.scale = (1 - self.unknown) / (1 - left) if left < 1 else 0.0
+        #: The probability of a seen word over its discounted count.
+        self.share = (1 - self.unknown) / (1 - left) / max(self.total, 1) if left < 1 else 0.0
 
     def probability(self, c: np.ndarray) -> np.ndarray:
         c = c.astype(np.float64)
-        return np.where(c > 0, self.scale * discounted(c, self.d) / max(self.total, 1), self.unknown)
+        return np.where(c > 0, self.share * discounted(c, self.d), self.unknown)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.types + 1)))
@@ -164,8 +182,9 @@ class Grams:
     def __init__(self, n: list[int], spread: dict[int, tuple[np.ndarray, float]]):
         self.d, self.spread = discounts(n), spread
 
-    def probability(self, count: np.ndarray, sums: np.ndarray, few: np.ndarray, free: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """The discounted share where the n-gram was seen; else the history's backoff weight times the lower order's probability.
+    def weights(self, sums: np.ndarray, few: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history what a seen n-gram has for its discounted count, and the backoff weight, by which one not seen has the
+        lower order's probability.
 
         The weight is what discounting leaves of the history's ``sums``, over ``free``: the lower order's probability of all
         words not seen after the history (the unknown word is never seen, so that is above 0). So a history's
@@ -174,8 +193,7 @@ class Grams:
         total = np.maximum(sums, 1)
         left = (np.arange(1, KATZ + 1)[:, None] * few * (1 - self.d[1:, None])).sum(axis=0) / total
         kept = np.where(sums > 0, np.maximum(left, 1 / (total + 1)), 1.0)
-        seen = (1 - kept) / np.maximum(1 - left, 1e-300) * discounted(count, self.d) / total
-        return np.where(count > 0, seen, kept / np.maximum(np.where(sums > 0, free, 1.0), 1e-300) * lower)
+        return (1 - kept) / np.maximum(1 - left, 1e-300) / total, kept / np.maximum(np.where(sums > 0, free, 1.0), 1e-300)
 
 
 CHUNK_ROWS = "kind string, chunk long, ids array<bigint>, lens binary, held binary, tokens binary, place binary, word binary, n binary, size long, learnt long"
@@ -240,6 +258,14 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def histories(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones in order, where each is first, and which one each entry has."""
+    if (h[1:] >= h[:-1]).all():
+        first = firsts(h)
+        return h[first], first, np.repeat(np.arange(len(first)), np.diff(first, append=len(h)))
+    return np.unique(h, return_index=True, return_inverse=True)
+
+
 def spans(part: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Each partition's stretch of entries in order of partition."""
     ends = [*firsts(part), len(part)]
@@ -273,96 +299,152 @@ class Chunk:
         self.learnt = np.repeat(self.held == 0, self.lens)
 
     def learn_words(self, got: dict[int, dict], words: Words, begins: int) -> None:
-        """From here on, words are numbered in the order of their global numbers; after them comes what stands before a text."""
-        numbers, counts = [], []
+        """From here on, words are numbered in the order of their global ranks, about the commonest first; after them comes what stands before a text."""
+        places, numbers, counts = [], [], []
         for p in sorted(got):  # the partitions are ranges of the hash, so together they are all words in its order
-            numbers.append(unpack(got[p]["place"], np.uint32) | np.uint64(p) << PLACE)
+            place = unpack(got[p]["place"], np.uint32)
+            places.append(place * np.uint64(self.parts) + np.uint64(p))
+            numbers.append(place | np.uint64(p) << PLACE)
             counts.append(unpack(got[p]["count"], np.uint64).astype(np.int64))
-        number, count = np.concatenate(numbers), np.concatenate(counts)
-        order = np.argsort(number)
+        rank, number, count = np.concatenate(places), np.concatenate(numbers), np.concatenate(counts)
+        if rank.max() >= NONE:
+            raise OverflowError("triples are named by ranks of words, which have 32 bits")
+        order = np.argsort(rank)
         tokens, place = (unpack(x, np.uint32) for x in self.packed)
         self.w = ranks(order)[place][tokens]
-        self.word_number = np.append(number[order], BEGIN)
+        self.word_rank, self.word_number = np.append(rank[order], NONE), np.append(number[order], BEGIN)
         count = count[order]
         self.p = words.probability(count).astype(np.float32)[self.w]
         self.known = np.add.reduceat((count > 0)[self.w].astype(np.int64), self.starts)
         self.base = np.add.reduceat(words.base(count)[self.w], self.starts)
         self.number, self.count = self.word_number, np.append(count, begins)
+        self.word_count, self.share = self.count, np.full(len(count), words.share, np.float32)
         self.gram = self.w
 
     def grams(self, order: int, limit: int) -> None:
         """Distinct n-grams of the next order, by partition, history and word: a token after the n-gram of the order reached that ends before it.
 
+        Pairs are in order of word and history instead, so what goes with a word is one run in a message. Triples are dealt by their
+        middle word (with more than ``limit`` tokens, by the first one too) and are in order of middle, last and first word: what goes
+        with the last two is one run for a chunk, however many partitions there are.
         A text's first token follows what stands before all texts; tokens with fewer tokens before them than ``order`` asks for
         have no n-gram.
         """
+        self.order, size = order, np.int64(len(self.word_number))
         history = np.empty_like(self.gram)
         history[1:] = self.gram[:-1]
-        history[self.starts] = len(self.word_number) - 1 if order == 2 else -1
+        history[self.starts] = size - 1 if order == 2 else -1
         self.has = history >= 0
-        key = history[self.has] * np.int64(len(self.word_number))
-        key += self.w[self.has]
-        self.gram = history = None
+        below, history, w = self.gram[self.has], history[self.has], self.w[self.has]
+        self.gram = None
+        if order == 2:
+            key = w * size + history
+        elif order == 3:
+            before = np.empty_like(self.w)
+            before[1:] = self.w[:-1]
+            middle = before[self.has]
+            before[self.starts] = size - 1
+            before[1:] = before[:-1].copy()
+            before = before[self.has]
+            key = middle * size + w
+            if int(size) ** 3 >= 1 << 63:
+                key = np.unique(key, return_inverse=True)[1]
+            key *= size
+            key += before
+        else:
+            key = history * size + w
         at = np.argsort(key)
-        key = key[at]
-        at = at.astype(np.int32)
-        first = firsts(key).astype(np.int32)
-        h, w = (x.astype(np.int32) for x in np.divmod(key[first], len(self.word_number)))
-        sizes = np.diff(first, append=np.int32(len(key)))
+        first = firsts(key[at]).astype(np.int32)
         key = None
-        number = self.number[h]
-        part = ((number >> PLACE) % np.uint64(self.parts)).astype(np.int32)
+        at = at.astype(np.int32)
+        sizes = np.diff(first, append=np.int32(len(at)))
+        token = at[first]
+        h, w = history[token], w[token]
+        history = None
+        if order == 3:
+            before, middle = before[token], middle[token]
+            number, part = self.word_rank[middle] << np.uint64(32) | self.word_rank[before], (self.word_number[middle] >> PLACE) % np.uint64(self.parts)
+        else:
+            number = self.number[h]
+            part = (number >> PLACE) % np.uint64(self.parts)
+        part = part.astype(np.int32)
+        if order == 3:
+            hot = np.flatnonzero(self.word_count[middle] > limit)
+            part[hot] = self.deal(part[hot], self.word_count[middle[hot]], self.word_number[before[hot]], limit)
+            before = middle = None
         hot = np.flatnonzero(self.count[h] > limit)
-        over = -(-2 * self.count[h[hot]].astype(np.int64) // limit)
-        part[hot] = (part[hot] + (mix(self.word_number[w[hot]]) % over.astype(np.uint64)).astype(np.int64)) % self.parts
-        self.number = self.count = h = None
+        part[hot] = self.deal(part[hot], self.count[h[hot]], self.word_number[w[hot]], limit)
         again = by_part(part).astype(np.int32)
         place = ranks(again)
+        self.sums = self.count[h][again]
+        self.number = h = None
         self.part, self.h, self.word = part[again], number[again], w[again]
         number = w = part = None
         self.spread = np.zeros(len(again), bool)
         self.spread[place[hot]] = True
-        self.lower = self.p[self.has][at[first[again]]]
+        token = token[again]
+        self.lower = self.p[self.has][token]
+        below = below[token]
+        self.below = self.count[below], self.share[below]
+        self.count = self.share = below = token = None
         self.n = np.add.reduceat(self.learnt[self.has][at], first, dtype=np.uint32)[again]
         self.of = np.empty(len(at), np.int32)
         self.of[at] = np.repeat(place, sizes)
 
+    def deal(self, part: np.ndarray, count: np.ndarray, by: np.ndarray, limit: int) -> np.ndarray:
+        """Partitions for what has too many tokens for one: as many as these would fill twice."""
+        over = -(-2 * count.astype(np.int64) // limit)
+        return (part + (mix(by) % over.astype(np.uint64)).astype(np.int64)) % self.parts
+
     def message(self, k: slice) -> tuple[bytes, ...]:
-        """What a partition gets: its n-grams' histories and words, their counts and lower probabilities, and the histories that are spread."""
-        return pack_steps(self.h[k]), pack(self.word_number[self.word[k]]), pack(self.n[k]), pack_values(self.lower[k]), pack(np.unique(self.h[k][self.spread[k]]))
+        """What a partition gets: its n-grams' histories and words, their counts and lower probabilities, and the histories that are spread.
+
+        A lower probability that a partition needs is that of an n-gram seen there: a count, which is short, and a share, which
+        depends on the history's last words alone.
+        """
+        count, share = (x[k] for x in self.below)
+        share = pack_runs(share)
+        lower = len(share).to_bytes(4, "little") + share + pack_runs(count.astype(np.uint64))
+        return pack_histories(self.h[k]), pack_runs(self.word_rank[self.word[k]]), pack(self.n[k]), lower, pack(np.unique(self.h[k][self.spread[k]]))
 
     def learn(self, got: dict[int, dict], model: Grams, last: bool) -> None:
-        """The n-grams' probabilities from what the partitions sent back."""
+        """The n-grams' probabilities from what the partitions sent back. A history's sum is its own count: a token follows each."""
         size = len(self.h)
-        p, count, number = np.zeros(size, np.float32), np.zeros(size, np.uint32), np.zeros(0 if last else size, np.uint64)
+        p, count, number = np.zeros(size, np.float32), np.zeros(size, np.uint32), np.zeros(0 if last or self.order == 2 else size, np.uint64)
+        share = np.zeros(0 if last else size, np.float32)
         for of, k in spans(self.part):
             g = got[of]
             count[k] = unpack(g["count"], np.uint32)
-            first = firsts(self.h[k])
-            at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, k.stop - k.start]))
-            sums, few = unpack(g["sums"], np.uint64).astype(np.int64), unpack(g["few"], np.uint32).reshape(KATZ, len(first)).astype(np.int64)
-            free = np.ones(len(first))
-            free[np.logical_or.reduceat(count[k] == 0, first)] = unpack(g["free"], np.float32)
+            h, first, at = histories(self.h[k])
+            spread, sums = self.spread[k][first], self.sums[k][first].astype(np.int64)
+            few = unpack(g["few"], np.uint32).reshape(KATZ, len(h)).astype(np.int64)
+            few[0] = sums - few[0] - (np.arange(2, KATZ + 1)[:, None] * few[1:]).sum(axis=0)
+            free = np.ones(len(h))
+            free[(np.bincount(at, count[k] == 0) > 0) & ~spread] = unpack(g["free"], np.float32)
             # Of a history that is spread the driver knows the whole sums.
-            for j in np.flatnonzero(self.spread[k][first]):
-                whole, covered = model.spread[int(self.h[k][first[j]])]
+            for j in np.flatnonzero(spread):
+                whole, covered = model.spread[int(h[j])]
                 sums[j], few[:, j], free[j] = whole[0], whole[1:], 1 - covered
-            p[k] = model.probability(count[k].astype(np.int64), sums[at], few[:, at], free[at], self.lower[k].astype(np.float64))
+            seen, back = model.weights(sums, few, free)
+            c = count[k].astype(np.int64)
+            p[k] = np.where(c > 0, seen[at] * discounted(c, model.d), back[at] * self.lower[k])
             if not last:
+                share[k] = seen[at]
+            if len(number):
                 number[k] = unpack_steps(g["place"], np.uint32) | np.uint64(of) << PLACE
         self.p[self.has] = p[self.of]
         if not last:
             self.gram = np.full(len(self.w), -1, np.int32)
             self.gram[self.has] = self.of
-            self.number, self.count = number, count
-        self.part = self.h = self.word = self.spread = self.lower = self.n = self.of = None
+            self.number, self.count, self.share = number, count, share
+        self.part = self.h = self.word = self.spread = self.lower = self.below = self.sums = self.n = self.of = None
 
     def scores(self) -> np.ndarray:
         return np.add.reduceat(np.log10(self.p.astype(np.float64)), self.starts)
 
 
-ANSWER = {"chunk": pa.int64(), "p": pa.int32(), "place": pa.binary(), "count": pa.binary(), "sums": pa.binary(), "few": pa.binary(), "free": pa.binary(), "total": pa.list_(pa.int64()), "spread": pa.list_(pa.int64()), "covered": pa.list_(pa.float64())}
-ANSWER_ROWS = "chunk long, p int, place binary, count binary, sums binary, few binary, free binary, total array<bigint>, spread array<bigint>, covered array<double>"
+ANSWER = {"chunk": pa.int64(), "p": pa.int32(), "place": pa.binary(), "count": pa.binary(), "few": pa.binary(), "free": pa.binary(), "total": pa.list_(pa.int64()), "spread": pa.list_(pa.int64()), "covered": pa.list_(pa.float64())}
+ANSWER_ROWS = "chunk long, p int, place binary, count binary, few binary, free binary, total array<bigint>, spread array<bigint>, covered array<double>"
 
 
 def answers(rows: list[dict]) -> pa.Table:
@@ -383,18 +465,26 @@ def count_words(group: pa.Table) -> pa.Table:
     return answers([*out, {"p": p, "total": [int(total.sum()), int((total > 0).sum()), *map(int, of[1 : KATZ + 2])]}])
 
 
-def count_grams(group: pa.Table, last: bool) -> pa.Table:
-    """A partition's n-grams: totals back to each chunk, and for each of its histories the sum, the numbers of low counts and the
+def lowers(data: bytes, d: np.ndarray) -> np.ndarray:
+    end = 4 + int.from_bytes(data[:4], "little")
+    return unpack_runs(data[4:end], np.float32) * discounted(unpack_runs(data[end:], np.uint64).astype(np.int64), d)
+
+
+def count_grams(group: pa.Table, last: bool, d: np.ndarray = np.ones(KATZ + 1), pairs: bool = True) -> pa.Table:
+    """A partition's n-grams: totals back to each chunk, and for each of its histories the numbers of low counts and the
     lower order's probability left for words not seen after it, where the chunk has such a word; and one row of sums.
+
+    ``d`` are the lower order's discounts; ``pairs`` need no numbers, since their words name them. Instead of the number of count 1 goes what all low counts leave of the history's sum,
+    which is mostly 0. Histories that are spread get neither here.
     """
     chunk, p = group.column("chunk").to_pylist(), group.column("p")[0].as_py()
     get = lambda name, how, kind: [how(x, kind) for x in group.column(name).to_pylist()]
-    hs, w = get("h", unpack_steps, np.uint64), np.concatenate(get("word", unpack, np.uint64))
-    n, lower = np.concatenate(get("n", unpack, np.uint32)), np.concatenate(get("lower", unpack_values, np.float32))
-    sizes, begins = [len(h) for h in hs], [firsts(h) for h in hs]
-    uh = np.unique(np.concatenate([h[f] for h, f in zip(hs, begins, strict=True)]))
-    own = [np.searchsorted(uh, h[f]) for h, f in zip(hs, begins, strict=True)]
-    h = np.concatenate([np.repeat(o, np.diff(np.r_[f, s])) for o, f, s in zip(own, begins, sizes, strict=True)])
+    hs, w = [histories(h) for h in get("h", unpack_histories, np.uint64)], np.concatenate(get("word", unpack_runs, np.uint64))
+    n, lower = np.concatenate(get("n", unpack, np.uint32)), np.concatenate([lowers(x, d).astype(np.float32) for x in group.column("lower").to_pylist()])
+    sizes = [len(at) for _, _, at in hs]
+    uh = np.unique(np.concatenate([u for u, _, _ in hs]))
+    own = [np.searchsorted(uh, u) for u, _, _ in hs]
+    h = np.concatenate([o[at] for o, (_, _, at) in zip(own, hs, strict=True)])
     bits = int(w.max()).bit_length()
     order = np.argsort(h.astype(np.uint64) << np.uint64(bits) | w) if bits + len(uh).bit_length() <= 64 else np.lexsort((w, h))
     first = firsts(h[order], w[order])
@@ -405,15 +495,18 @@ def count_grams(group: pa.Table, last: bool) -> pa.Table:
     sums, covered = np.bincount(th, total, len(uh)).astype(np.int64), np.bincount(th, np.where(seen, lower[order[first]], 0).astype(np.float64), len(uh))
     few = np.stack([np.bincount(th[total == r], minlength=len(uh)) for r in range(1, KATZ + 1)])
     of = np.bincount(np.minimum(total, KATZ + 2), minlength=KATZ + 3)
+    spread = np.unique(np.concatenate(get("spread", unpack, np.uint64)))
+    mine = np.searchsorted(uh, spread)
+    whole = np.ones(len(uh), bool)
+    whole[mine] = False
+    sent = np.stack([sums - (np.arange(1, KATZ + 1)[:, None] * few).sum(axis=0), *few[1:]]) * whole
     out = []
-    for c, k, o, f in zip(chunk, np.split(kind, np.cumsum(sizes)[:-1]), own, begins, strict=True):
-        asked = np.logical_or.reduceat(total[k] == 0, f)
+    for c, k, o, (_, _, at) in zip(chunk, np.split(kind, np.cumsum(sizes)[:-1]), own, hs, strict=True):
+        asked = (np.bincount(at, total[k] == 0) > 0) & whole[o]
         out.append({
-            "chunk": c, "p": p, "count": pack(total[k].astype(np.uint32)), "sums": pack(sums[o].astype(np.uint64)), "few": pack(few[:, o].astype(np.uint32).ravel()),
-            "free": pack((1 - covered[o[asked]]).astype(np.float32)), "place": None if last else pack_steps(k.astype(np.uint32)),
+            "chunk": c, "p": p, "count": pack(total[k].astype(np.uint32)), "few": pack(sent[:, o].astype(np.uint32).ravel()),
+            "free": pack((1 - covered[o[asked]]).astype(np.float32)), "place": None if last or pairs else pack_steps(k.astype(np.uint32)),
         })
-    spread = np.unique(np.concatenate(get("spread", unpack, np.uint64)))
-    mine = np.searchsorted(uh, spread)
     out.append({"p": p, "total": [int(x) for x in of[1 : KATZ + 2]], "spread": [int(x) for h, k in zip(spread, mine, strict=True) for x in (h.astype(np.int64), sums[k], *few[:, k])], "covered": [float(covered[k]) for k in mine]})
     return answers(out)
 
@@ -443,13 +536,13 @@ class Scorer:
         tokens, self.begins = (x or 0 for x in self.texts.agg(F.sum("size"), F.sum("learnt")).first())
         self.parts = max(12, math.ceil(tokens / SHARE))
         self.limit = max(SHARE // 2, tokens // SPREAD, 1)
-        self.told: list[DataFrame] = []
+        self.told: list[DataFrame] = []  # each order's answers, by chunk
         self.words: Words | None = None
         self.models: list[Grams] = []
 
     def reached(self, upto: int) -> Callable[[dict], Chunk]:
         """A function that brings a joined row to the n-grams of an order; the last answers are for those of the order before."""
-        parts, words, begins, models, limit, last = self.parts, self.words, self.begins, self.models, self.limit, self.order
+        parts, words, begins, models, limit, last = self.parts, self.words, self.begins, list(self.models), self.limit, self.order
 
         def bring(r: dict) -> Chunk:
             c = Chunk(r, parts)
@@ -459,25 +552,35 @@ class Scorer:
             c.learn_words(got[1], words, begins)
             for k in range(2, upto + 1):
                 c.grams(k, limit)
-                if k in got:
-                    c.learn(got[k], models[k - 2], k == last)
+                if k - 2 < len(models):
+                    c.learn(got.get(k, {}), models[k - 2], k == last)
             return c
 
         return bring
 
     def joined(self) -> DataFrame:
-        """Each chunk with all answers so far."""
-        cells = ["p", "place", "count", "sums", "few", "free"]
-        sent = [t.filter("chunk IS NOT NULL").select("chunk", F.struct(F.lit(k).alias("nth"), *cells).alias("g")) for k, t in enumerate(self.told, 1)]
-        everything = sent[0]
-        for x in sent[1:]:
-            everything = everything.union(x)
-        back = everything.repartition(self.buckets, "chunk").groupBy("chunk").agg(F.collect_list("g").alias("got"))
-        return self.texts.join(back, "chunk")
-
-    def sums(self, told: DataFrame) -> list[int]:
-        size = KATZ + 3 if len(self.told) == 1 else KATZ + 1
-        return [x or 0 for x in told.filter("chunk IS NULL").select(*(F.sum(F.col("total")[k]).alias(f"s{k}") for k in range(size))).first()]
+        """Each chunk with all answers so far; one of empty texts alone has none above the second order."""
+        rows, names = self.texts, [f"got{k}" for k in range(1, len(self.told) + 1)]
+        for name, told in zip(names, self.told, strict=True):
+            rows = rows.join(told.withColumnRenamed("got", name).hint("merge"), "chunk", "left")
+        return rows.withColumn("got", F.concat(*(F.coalesce(x, F.array()) for x in names))).drop(*names)
+
+    def tell(self, answers: DataFrame) -> list[int]:
+        """Keeps an order's answers for its chunks, and returns the sums over all partitions.
+
+        They move to where the chunks are once, in a step of their own, so that they are not in shuffle files beside the next order's
+        messages; the last order's move when the result runs.
+        """
+        k = len(self.told) + 1
+        size = KATZ + (3 if k == 1 else 1)
+        sums = [x or 0 for x in answers.filter("chunk IS NULL").select(*(F.sum(F.col("total")[j]).alias(f"s{j}") for j in range(size))).first()]
+        got = F.struct(F.lit(k).alias("nth"), "p", "place", "count", "few", "free")
+        back = answers.filter("chunk IS NOT NULL").select("chunk", got.alias("g")).repartition(self.buckets, "chunk").groupBy("chunk").agg(F.collect_list("g").alias("got"))
+        if k < self.order:
+            back = self.work.write_bucketed(back, f"told-{k}", "chunk", self.buckets)
+            self.work.drop(f"grams-{k}")
+        self.told.append(back)
+        return sums
 
     def count_words(self) -> None:
         parts = self.parts
@@ -491,14 +594,15 @@ class Scorer:
 
         words = self.work.read("chunks/kind=words", "chunk long, word binary, n binary")
         sent = words.mapInArrow(send, "p int, chunk long, word binary, n binary")
-        self.told.append(self.work.write(sent.groupBy("p").applyInArrow(count_words, ANSWER_ROWS), "grams-1"))
+        told = self.work.write(sent.groupBy("p").applyInArrow(count_words, ANSWER_ROWS), "grams-1")
         self.work.drop("chunks/kind=words")
-        sums = self.sums(self.told[-1])
+        sums = self.tell(told)
         self.words = Words(sums[0], sums[1], sums[2:])
 
     def count(self, order: int) -> None:
         """The n-grams of one order above the first."""
         bring, last = self.reached(order), order == self.order
+        d = self.models[-1].d if self.models else self.words.d
         kinds = {"p": pa.int32(), "chunk": pa.int64(), "h": pa.binary(), "word": pa.binary(), "n": pa.binary(), "lower": pa.binary(), "spread": pa.binary()}
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,15 +613,14 @@ class Scorer:
 
         sent = self.joined().mapInArrow(send, "p int, chunk long, h binary, word binary, n binary, lower binary, spread binary")
         # A bucket may have several chunks; Python gets them one by one.
-        told = self.work.write(sent.groupBy("p").applyInArrow(lambda group: count_grams(group, last), ANSWER_ROWS), f"grams-{order}", at_once=1)
-        self.told.append(told)
+        told = self.work.write(sent.groupBy("p").applyInArrow(lambda group: count_grams(group, last, d, order == 2), ANSWER_ROWS), f"grams-{order}", at_once=1)
         whole: dict[int, tuple[np.ndarray, float]] = {}
         for r in told.filter("chunk IS NULL AND size(spread) > 0").select("spread", "covered").collect():  # at most SPREAD histories, and their pieces
             for k, covered in enumerate(r["covered"]):
                 h, *x = r["spread"][k * (KATZ + 2) : (k + 1) * (KATZ + 2)]
                 old = whole.get(h % (1 << 64), (np.zeros(KATZ + 1, np.int64), 0.0))
                 whole[h % (1 << 64)] = (old[0] + np.array(x, np.int64), old[1] + covered)
-        self.models.append(Grams(self.sums(told), whole))
+        self.models.append(Grams(self.tell(told), whole))
 
     def finish(self) -> DataFrame:
         bring, total = self.reached(self.order), self.words.total
