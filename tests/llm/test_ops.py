@@ -568,6 +568,14 @@ def test_lm_beats_the_base_and_takes_odd_rows(spark, docs, odd):
     assert lm.score(empty(spark, odd)).count() == 0
 
 
+def test_chunks_without_ngrams_of_an_order(spark, monkeypatch):
+    """Chunks of empty texts alone have no triples; above the third order they stopped the query."""
+    monkeypatch.setattr(lm, "CHUNK", 40)
+    rows = [(k, "a b c d e f g a b c d" if k < 12 else "") for k in range(1, 90)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 90)) and all(math.isfinite(r.score) and r.score <= 0 for r in got)
+
+
 def test_good_turing_runs_on_the_tables(spark):
     for sf in ("sf0.01", "sf0.1"):
         number = {b"": 0}
