@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -229,9 +228,7 @@ def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objects of the engine's own JSON, one a row."""
-    e = bridge(spark, sf_dir, "posts")
-    objects = json.loads(e.query_json("SELECT id, status, score FROM posts WHERE cents > ?", 20000000)[1])
-    return spark.createDataFrame([(json.dumps(x, separators=(",", ":")),) for x in objects], "object string")
+    return bridge(spark, sf_dir, "posts").json_rows("SELECT id, status, score FROM posts WHERE cents > ?", 20000000)
 
 
 def prepared_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from larkspur import queries
+from larkspur.engine import Engine
 from larkspur.queries_api import API
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_same_rows(spark, duck, name):
 def test_filters_reach_the_scan(spark):
     plan = queries.CASES["scan_project"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "c_name" in plan and "c_mktsegment" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("name", ["json_objects"])
+def test_results_pass_the_driver_by(spark, monkeypatch, name):
+    """Queries whose results grow with the tables don't gather them on the driver."""
+    monkeypatch.setattr(Engine, "query", None)
+    assert QUERIES[name](spark, SF).count() > 0
