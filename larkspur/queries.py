@@ -239,7 +239,7 @@ def prepared_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.exec("DROP TABLE posts")
     e.register(TableDef("posts", (*POSTS.columns, ColumnDef("note", "text", nullable=True)), POSTS.indexes), rows.withColumn("note", F.lit(None).cast("string")))
     assert before is not None and stmt.query_row("O")[1] is None
-    return spark.createDataFrame([(str(k), n) for k, n in stmt.query("F")[1]], "id string, cents long")
+    return stmt.df("F")
 
 
 def recovered_sql(more: str = "") -> str:

@@ -146,14 +146,18 @@ def error_classes(spark, sf_dir):
 def query_values(spark, sf_dir):
     e = bridge(spark, sf_dir, "posts")
     e.exec_values("UPDATE posts SET score = ? WHERE id = ?", [99, T7])
-    many = e.query_values("SELECT id, score FROM posts WHERE status = ? AND day < ? ORDER BY id", ["P", 9500])[1]
-    return told(spark, "id string, score long", [*many, e.query_row_values("SELECT id, score FROM posts WHERE id = ?", [T7])[1]])
+    many = e.df("SELECT id, score FROM posts WHERE status = ? AND day < ? ORDER BY id", "P", 9500)
+    return many.union(told(spark, "id string, score long", [tuple(e.query_row_values("SELECT id, score FROM posts WHERE id = ?", [T7])[1])]))
 
 
 def query_rows(spark, sf_dir):
     """Keys come as UUIDs, bytes as bytes."""
-    rows = bridge(spark, sf_dir, "docs").query("SELECT id, lang, n, raw FROM docs WHERE n < ?", 200)[1]
-    return told(spark, "id string, lang string, n long, size long", [(k, lang, n, len(raw)) for k, lang, n, raw in rows if isinstance(k, uuid.UUID) and isinstance(raw, bytes)])
+
+    def sized(_: list[str], row: list[Any]) -> tuple | None:
+        k, lang, n, raw = row
+        return (str(k), lang, n, len(raw)) if isinstance(k, uuid.UUID) and isinstance(raw, bytes) else None
+
+    return bridge(spark, sf_dir, "docs").mapped(sized, "id string, lang string, n long, size long", "SELECT id, lang, n, raw FROM docs WHERE n < ?", 200)
 
 
 def query_each(spark, sf_dir):
@@ -186,7 +190,7 @@ def prepared_statement(spark, sf_dir):
     stmt, write = e.prepare("SELECT id, cents FROM users WHERE segment = ?"), e.prepare("UPDATE users SET cents = cents + ? WHERE id = ?")
     write.exec(5, T7)
     one = e.prepare("SELECT id, cents FROM users WHERE id = ?").query_row_by_pk(T7)[1]
-    return told(spark, "id string, cents long", [*stmt.query("BUILDING")[1], one])
+    return stmt.df("BUILDING").union(told(spark, "id string, cents long", [one]))
 
 
 def store_meta(spark, sf_dir):

@@ -41,7 +41,7 @@ def test_filters_reach_the_scan(spark):
     assert "c_name" in plan and "c_mktsegment" not in plan.split("ReadSchema")[1]
 
 
-@pytest.mark.parametrize("name", ["json_objects"])
+@pytest.mark.parametrize("name", ["json_objects", "prepared_rebind", "prepared_statement", "query_rows", "query_values"])
 def test_results_pass_the_driver_by(spark, monkeypatch, name):
     """Queries whose results grow with the tables don't gather them on the driver."""
     monkeypatch.setattr(Engine, "query", None)
